@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrapoint.llm import packing
+from terrapoint.llm import ann, packing, url_reputation
 from terrapoint.llm.common import table
 
 WINDOW = 1024
+#: The url rules of the contract.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
 def tokenizer_path() -> str:
@@ -18,12 +21,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), good.alias("good"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), WINDOW, with_ids=False)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_reputation": op3_url_reputation,
     "op7_packing": op7_packing,
+    "op9_nearest": op9_nearest,
 }
 
 ORACLES: dict[str, str] = {}
