@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapoint.llm import ann, packing, url_reputation
-from terrapoint.llm.common import table
+from terrapoint.llm import ann, packing, quality, toxicity, url_reputation
+from terrapoint.llm.common import fold, table
 
 WINDOW = 1024
 #: The url rules of the contract.
@@ -21,6 +21,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _judged(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return _judged(quality.score(docs, model), fold("doc_id", 5) == 0)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return _judged(toxicity.score(docs, model), fold("doc_id", 4) == 2)
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
@@ -37,6 +53,8 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op5_toxicity": op5_toxicity,
     "op3_url_reputation": op3_url_reputation,
     "op7_packing": op7_packing,
     "op9_nearest": op9_nearest,
