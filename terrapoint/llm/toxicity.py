@@ -34,6 +34,8 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 _PREFIXES = (3, 4, 5)
 _KEPT_WORDS = 300_000
+#: One feature in a thousand reaches this by chance.
+LEAST_CHI_SQUARE = 10.83
 
 
 def features_of(word: str) -> list[str]:
@@ -80,7 +82,7 @@ def swapped(text: str, terms: tuple[str, ...]) -> list[tuple[str, str]]:
     return out
 
 
-def solve(x: np.ndarray, y: np.ndarray, sample_weights: np.ndarray, change: np.ndarray, fairness: float, penalty: float = 5e-4, rounds: int = 400) -> tuple[np.ndarray, float]:
+def solve(x: np.ndarray, y: np.ndarray, sample_weights: np.ndarray, change: np.ndarray, fairness: float, penalty: float = 5e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias. change: rows of features that a swap adds (1) and removes (-1)."""
     w, b = np.zeros(x.shape[1], dtype=np.float32), np.float32(0)
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int =
     a, b = F.col("a"), F.col("b")
     cross = a * (neg - b) - b * (pos - a)
     chi = cross * cross * (pos + neg) / (F.lit(pos * neg) * (a + b) * (F.lit(pos + neg) - a - b + 1e-9))
-    best = counts.where(a + b >= 5).orderBy(F.desc(F.round(chi, 9)), "f").limit(vocabulary).select("f").collect()
+    best = counts.where((a + b >= 3) & (chi >= LEAST_CHI_SQUARE)).orderBy(F.desc(F.round(chi, 9)), "f").limit(vocabulary).select("f").collect()
     names = sorted({r["f"] for r in best} | set(terms))
     number = {f: i for i, f in enumerate(names)}
 
