@@ -43,9 +43,14 @@ def word_hashes(text: str) -> np.ndarray:
     words = _WORD.findall(text.lower())
     if len(_KNOWN) > _KEPT_WORDS:
         _KNOWN.clear()
-    for w in set(words) - _KNOWN.keys():
-        _KNOWN[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_KNOWN.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = _KNOWN
+    try:
+        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    except KeyError:
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -61,7 +61,7 @@ class Scorer:
         known = self.known
         if len(known) > _KEPT_WORDS:
             known.clear()
-        for w in words - known.keys():
+        for w in [w for w in words if w not in known]:
             known[w] = [f for f in features_of(w) if f in self.weights] if len(w) < 64 else [f for f in features_of(w[:64]) if f in self.weights]
         out: set[str] = set()
         for hit in filter(None, map(known.__getitem__, words)):
