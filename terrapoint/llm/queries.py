@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapoint.llm import ann, near_dup, packing, quality, toxicity, url_reputation
+from terrapoint.llm import ann, near_dup, packing, quality, substring_dedup, toxicity, url_reputation
 from terrapoint.llm.common import fold, table
 
 WINDOW = 1024
@@ -44,6 +44,10 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_toxicity": op5_toxicity,
     "op3_url_reputation": op3_url_reputation,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
     "op9_nearest": op9_nearest,
