@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapoint.llm import ann, near_dup, packing, quality, substring_dedup, toxicity, url_reputation
+from terrapoint.llm import ann, decontaminate, near_dup, packing, quality, substring_dedup, toxicity, url_reputation
 from terrapoint.llm.common import fold, table
 
 WINDOW = 1024
@@ -60,6 +60,10 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op5_toxicity": op5_toxicity,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
     "op9_nearest": op9_nearest,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
