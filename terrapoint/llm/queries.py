@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapoint.llm import ann, decontaminate, near_dup, packing, quality, substring_dedup, toxicity, url_reputation
-from terrapoint.llm.common import fold, table
+from terrapoint.llm import ann, decontaminate, near_dup, packing, quality, shards, substring_dedup, toxicity, url_reputation
+from terrapoint.llm.common import fold, scratch, table
 
 WINDOW = 1024
 #: The url rules of the contract.
@@ -37,6 +37,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), fold("doc_id", 4) == 2)
 
 
+def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = shards.ShardStore(spark, scratch(spark, "shards"))
+    arrivals = [docs.where(fold("doc_id", 6) == i) for i in range(5)] + [docs.where(F.coalesce(fold("doc_id", 6), F.lit(5)) == 5)]
+    rows = shards.compacted(store, arrivals)
+    return rows.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("text_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "version", "shard")
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
@@ -66,6 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_compaction": op2_compaction,
     "op5_toxicity": op5_toxicity,
     "op3_url_reputation": op3_url_reputation,
     "op4_substring_dedup": op4_substring_dedup,
