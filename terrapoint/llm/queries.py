@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapoint.llm import ann, decontaminate, near_dup, packing, quality, shards, substring_dedup, toxicity, url_reputation
+from terrapoint.llm import ann, decontaminate, near_dup, packing, quality, shards, site_tree, substring_dedup, toxicity, url_reputation
 from terrapoint.llm.common import fold, scratch, table
 
 WINDOW = 1024
@@ -64,6 +64,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), WINDOW, with_ids=False)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring_dedup": op4_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
+    "op8_main_text": op8_main_text,
     "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
 }
