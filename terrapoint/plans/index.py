@@ -151,7 +151,8 @@ class SpatialIndex:
         """Adds rows (x0.. and payload); returns their ids as (first, past the last)."""
         names = [n for n in self.schema.names if n != "id"]
         first = self.state["next_id"]
-        rows = query.numbered(df.select(*names), order or names, first)
+        order = order or names
+        rows = query.numbered(df.select(*dict.fromkeys([*names, *order])).withColumnsRenamed({"id": "order_id"}), ["order_id" if c == "id" else c for c in order], first)
         folder = f"delta-{uuid.uuid4().hex}"
         rows.select(*self.schema.names).write.parquet(f"{self.path}/{folder}")
         added = self._folders([folder], self.schema).count()
