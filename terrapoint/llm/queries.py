@@ -42,7 +42,7 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = shards.ShardStore(spark, scratch(spark, "shards"))
     arrivals = [docs.where(fold("doc_id", 6) == i) for i in range(5)] + [docs.where(F.coalesce(fold("doc_id", 6), F.lit(5)) == 5)]
     rows = shards.compacted(store, arrivals)
-    return rows.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("text_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "version", "shard")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("text_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +89,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+def _strength_sql(table_name: str) -> str:
+    """Moments of a beta-binomial over the groups of a table (good, n), as in url_reputation.strength."""
+    return f"""(SELECT CASE WHEN coalesce(sum(n), 0) = 0 OR count(*) < 2 OR any_value(m) * (1 - any_value(m)) <= 0 THEN 1000.0
+ ELSE (SELECT CASE WHEN rho > 0 THEN least(1000.0, greatest(1.0, (1 - rho) / rho)) ELSE 1000.0 END FROM (SELECT CASE WHEN f > 0 THEN (sp - (k - 1)) / f ELSE 0.0 END AS rho
+ FROM (SELECT sum(n * power(good / n - m, 2)) / (any_value(m) * (1 - any_value(m))) AS sp, count(*) AS k, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS f FROM {table_name}, mean WHERE n > 0))) END FROM {table_name}, mean WHERE n > 0)"""
+
+
+def _rules_sql() -> tuple[str, str]:
+    rule = verdict = ""
+    for kind, text in sorted(URL_RULES, key=lambda r: (-len(r[1]), r[1])):
+        host, slash, path = text.partition("/")
+        fits = f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}') THEN "
+        rule, verdict = rule + fits + f"'{text}' ", verdict + fits + f"'{kind}' "
+    return f"CASE {rule}END", f"CASE {verdict}END"
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_TWO = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
+_SQL3 = f"""WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ split AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM cut),
+ urls AS (SELECT page_id, translate(h, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM split),
+ good AS (SELECT doc_id AS page_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM labels WHERE doc_id IS NOT NULL AND NOT (quality IS NULL AND coalesce(toxic, 0) = 0)),
+ hosts0 AS (SELECT u.host, CAST(coalesce(sum(g.good), 0) AS DOUBLE) AS good, CAST(count(g.good) AS DOUBLE) AS n FROM urls u LEFT JOIN good g USING (page_id) GROUP BY u.host),
+ mean AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1) / (sum(n) + 2) ELSE 0.5 END AS m FROM hosts0),
+ named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '\\.$', ''), '.') AS l, regexp_replace(host, ':[0-9]*$', '') AS name FROM hosts0),
+ labelled AS (SELECT *, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three, regexp_matches(name, '^[0-9]+(\\.[0-9]+){{3}}$') AS ip FROM named),
+ hosts AS (SELECT host, good, n, CASE WHEN ip THEN name WHEN two IN ({_TWO}) THEN three ELSE two END AS domain, CASE WHEN ip THEN '' WHEN two IN ({_TWO}) THEN two ELSE l[-1] END AS suffix FROM labelled),
+ domains AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY ALL),
+ suffixes AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM domains GROUP BY ALL),
+ k AS (SELECT {_strength_sql("suffixes")} AS ks, {_strength_sql("domains")} AS kd, {_strength_sql("hosts")} AS kh),
+ s AS (SELECT suffix, (good + ks * m) / (n + ks) AS prior FROM suffixes, k, mean),
+ d AS (SELECT domain, suffix, (good + kd * prior) / (n + kd) AS prior FROM domains JOIN s USING (suffix), k),
+ h AS (SELECT host, good + kh * prior AS a, n - good + kh * (1 - prior) AS b FROM hosts JOIN d USING (domain, suffix), k),
+ r AS (SELECT host, a / (a + b) AS posterior, least(1.0, a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS bound FROM h)
+ SELECT page_id, host, path, {_rules_sql()[0]} AS rule, coalesce({_rules_sql()[1]}, CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(posterior, 6) AS posterior, round(bound, 6) AS bound FROM urls JOIN r USING (host)"""
+
+ORACLES: dict[str, str] = {
+    "op2_compaction": "SELECT doc_id, lang, source, n_chars, length(text) AS text_chars, md5(text) AS text_md5 FROM documents",
+    "op3_url_reputation": _SQL3,
+}
