@@ -23,6 +23,7 @@ from terrapoint.staging import hadoop_path, read_text, write_once
 from terrapoint.types import BBox, SnapshotError, SpatialConfig, axes, layout_name
 
 FORMAT = 1
+LOG = "kind string, selectivity double, hit boolean, latency_ns long, ts long"
 
 
 class ConcurrentChange(RuntimeError):
@@ -33,6 +34,7 @@ class SpatialIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.state = self._latest()
+        self.noted: list[tuple] = []
         self.policy = adapt.Policy(self.state["layout"], self.config.migration_threshold, self.config.hysteresis_window)
         self.policy.frozen = self.state["frozen"]
 
@@ -44,7 +46,7 @@ class SpatialIndex:
         config = config or SpatialConfig()
         path = path.rstrip("/")
         schema = df.select("id", *axes(dims), *[c for c in df.columns if c not in {"id", *axes(dims)}]).schema
-        state = {"format": FORMAT, "version": 0, "dims": dims, "layout": config.initial_layout, "config": asdict(config), "schema": schema.jsonValue(), "generation": None, "deltas": [], "tombstones": [], "next_id": 0, "frozen": False, "migrations": 0, "last_migration": None, "queries": 0}
+        state = {"format": FORMAT, "version": 0, "dims": dims, "layout": config.initial_layout, "config": asdict(config), "schema": schema.jsonValue(), "generation": None, "deltas": [], "tombstones": [], "next_id": 0, "frozen": False, "migrations": 0, "last_migration": None}
         if not write_once(spark, f"{path}/_manifest/{0:012d}.json", json.dumps(state)):
             raise ConcurrentChange(f"{path} holds a table already")
         index = cls(spark, path)
@@ -128,17 +130,46 @@ class SpatialIndex:
         return self._visible()
 
     def range_query(self, box: BBox) -> DataFrame:
+        share = 1.0
+        if self.state["generation"]:
+            # The leaf table is small and gives the share of rows in the leaves that the box meets.
+            total, met = 0, 0
+            for r in self.leaves().collect():
+                total += r["n"]
+                met += r["n"] * all(r[f"lo{d}"] <= box.hi[d] and r[f"hi{d}"] >= box.lo[d] for d in range(self.dims))
+            share = met / total if total else 0.0
+        self.observe("range", share, share > 0)
         return query.range_query(self._visible(box), box)
 
     def knn(self, point, k: int) -> DataFrame:
+        n = sum(r["n"] for r in self.leaves().select("n").collect()) if self.state["generation"] else 0
+        self.observe("knn", min(k / n, 1.0) if n else 0.0, n > 0)
         return query.knn(self._visible(), point, k)
 
     def nearest(self, point) -> DataFrame:
-        return query.nearest(self._visible(), point)
+        return self.knn(point, 1)
 
     def spatial_join(self, other: SpatialIndex) -> DataFrame:
+        self.observe("join", 1.0, True)
         return query.spatial_join(self._visible(), other._visible(), self.dims)
 
+    # Observations: what was asked, for the mix of queries.
+
+    def observe(self, kind: str, selectivity: float, hit: bool, latency_ns: int = 0) -> None:
+        """Notes one query; flush_observations() writes what was noted."""
+        self.noted.append((kind, float(selectivity), bool(hit), int(latency_ns), time.time_ns()))
+
+    def flush_observations(self) -> None:
+        if self.noted:
+            self.spark.createDataFrame(self.noted, LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/_observations")
+            self.noted.clear()
+
+    def log(self) -> DataFrame:
+        """kind, selectivity, hit, latency_ns, ts of every observation."""
+        self.flush_observations()
+        fs, folder = hadoop_path(self.spark, f"{self.path}/_observations")
+        return self.spark.read.schema(LOG).parquet(f"{self.path}/_observations") if fs.exists(folder) else self.spark.createDataFrame([], LOG)
+
     def count(self) -> int:
         return self._visible().count()
 
@@ -198,10 +229,10 @@ class SpatialIndex:
         self.policy.frozen = False
 
     def adapt(self, log: DataFrame | None = None) -> tuple[str, float] | None:
-        """One tick of the policy over the present shape; carries out what it recommends."""
+        """One tick of the policy over the present shape and the observed queries; carries out what it recommends."""
         if self.state["frozen"]:
             return None
-        found = self.policy.tick(adapt.data_shape(self._visible(), self.dims, log, self.config.reservoir_size))
+        found = self.policy.tick(adapt.data_shape(self._visible(), self.dims, self.log() if log is None else log, self.config.reservoir_size))
         if found:
             self.force_layout(found[0])
         return found
@@ -212,7 +243,8 @@ class SpatialIndex:
         """One row: layout, points, dims, queries, migrations, frozen, migrating."""
         state = self.state
         n = self._visible().agg(F.count(F.lit(1)).alias("points"))
-        return n.select(F.lit(state["layout"]).alias("layout"), "points", F.lit(self.dims).alias("dims"), F.lit(state["queries"]).alias("queries"), F.lit(state["migrations"]).alias("migrations"), F.lit(state["frozen"]).alias("frozen"), F.lit(self.policy.migrating).alias("migrating"))
+        asked = self.log().count()
+        return n.select(F.lit(state["layout"]).alias("layout"), "points", F.lit(self.dims).alias("dims"), F.lit(asked).alias("queries"), F.lit(state["migrations"]).alias("migrations"), F.lit(state["frozen"]).alias("frozen"), F.lit(self.policy.migrating).alias("migrating"))
 
     def extent(self) -> DataFrame:
         return aggregate.extent(self._visible(), self.dims)

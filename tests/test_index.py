@@ -47,6 +47,7 @@ def test_life_of_a_table(spark, tmp_path):
     assert index.adapt() is None and SpatialIndex.open(spark, path).state["frozen"]
     index.unfreeze()
     index.clear()
+    assert index.log().groupBy("kind").count().where("kind = 'range' and count >= 6").count() == 1
     assert index.is_empty() and index.state["layout"] == "grid" and index.state["migrations"] == 4
     assert index.stats().first()["points"] == 0
 
