@@ -51,10 +51,11 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None  # loaded again when a text needs it
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.spaced, self.single = (tiktoken.Encoding("words", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe for p in (_WORDS, _WORDS_SINGLE_SPACED))
@@ -65,6 +66,10 @@ class Encoder:
         if not text:
             return b""
         if self.special.search(text):
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = (self.spaced if self.runs.search(text) else self.single).encode_ordinary(text)
