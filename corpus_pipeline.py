@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapoint.llm import decontaminate, near_dup, packing, quality, substring_dedup
-from terrapoint.llm.common import fold, fresh, staged, table
+from terrapoint.llm.common import fold, ship, staged, table, without_ids
 from terrapoint.llm.queries import WINDOW, tokenizer_path
 
 
@@ -23,13 +23,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate class."""
-    key = fresh(docs.columns, "copy_id")
-    copies = staged(near_dup.classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct(), "near-copies")
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col(key), "left_anti")
+    ship(spark)
+    copies = staged(near_dup.classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias("id")).distinct(), "near-copies")
+    return without_ids(docs, "doc_id", copies)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id holds too."""
+    ship(spark)
     return substring_dedup.cut(docs)
 
 
@@ -40,6 +41,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, with their token ids."""
+    ship(spark)
     return packing.pack(docs, tokenizer_path(), WINDOW)
 
 

@@ -2,57 +2,40 @@
 
 from __future__ import annotations
 
-import atexit
+import os
+import shutil
 import tempfile
-import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapoint.staging import hadoop_path, scratch, shared_dir, staged
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="terrapoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
+__all__ = ["IdFilter", "fold", "fresh", "hadoop_path", "scratch", "shared_dir", "ship", "staged", "table", "without_ids"]
 
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, path) for metadata work on the driver."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
+#: Rows and bytes of a batch between the JVM and Python; a Python worker then needs some tens of MB for its batches.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under the shared one, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/terrapoint/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
 
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        fs, p = hadoop_path(spark, path)
-        fs.delete(p, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already
+def ship(spark: SparkSession) -> None:
+    """Once a session: keeps the batches that go to the executors' Python small, whatever the texts' length, and hands
+    them the package where neither PYTHONPATH nor the working folder has it."""
+    for name, most in BATCH.items():
+        spark.conf.set(name, most)
+    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if getattr(context, "_terrapoint_shipped", False):
         return
+    context._terrapoint_shipped = True
+    if root not in {os.path.abspath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]}:
+        context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="terrapoint-"), "terrapoint"), "zip", root, "terrapoint"))
 
 
-def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage, and survives the loss of any executor."""
-    spark = df.sparkSession
-    path = path or scratch(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(column: Column | str, of: int) -> Column:
@@ -66,3 +49,44 @@ def fresh(names: list[str], wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+class IdFilter:
+    """A bit map of fixed size over the hashes of ids: it holds all of them, and others by chance. It decides which
+    rows need to be shuffled at all; an exact join decides the rest, so a full map costs time and no rows."""
+
+    BITS = 1 << 25
+
+    def __init__(self, ids: DataFrame, column: str):
+        bit = self.place(F.col(column))
+        words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(64)).cast("int"))).alias("bits"))
+        found = words.toArrow()  # BITS / 64 rows at most
+        self.words = np.zeros(self.BITS // 64, dtype=np.int64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+
+    @classmethod
+    def place(cls, column: Column) -> Column:
+        return F.pmod(F.xxhash64(column.cast("long")), F.lit(cls.BITS))
+
+    def has(self, places: np.ndarray) -> np.ndarray:
+        return (self.words[places >> 6] >> (places & 63)) & 1 == 1
+
+    def test(self, spark: SparkSession, column: Column) -> Column:
+        """Whether the map may hold the column's value; rows without one aren't held."""
+        words = spark.sparkContext.broadcast(self.words)  # BITS / 8 bytes
+
+        @F.pandas_udf("boolean")
+        def maybe(places: pd.Series) -> pd.Series:
+            at = places.to_numpy(dtype=np.int64)
+            return pd.Series((words.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+        return F.coalesce(column.isNotNull() & maybe(F.coalesce(self.place(column), F.lit(0).cast("long"))), F.lit(False))
+
+
+def without_ids(docs: DataFrame, id_column: str, ids: DataFrame) -> DataFrame:
+    """docs without the rows whose id is in ids (column id). Only rows that the bit map holds are shuffled."""
+    flag, key = fresh(docs.columns, "maybe_id"), fresh(docs.columns, "gone_id")
+    held = IdFilter(ids, "id")
+    marked = docs.withColumn(flag, held.test(docs.sparkSession, F.col(id_column)))
+    rest = marked.where(F.col(flag)).join(ids.select(F.col("id").alias(key)).hint("merge"), F.col(id_column).cast("long") == F.col(key), "left_anti")
+    return marked.where(~F.col(flag)).unionByName(rest).select(*docs.columns)
