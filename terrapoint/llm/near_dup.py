@@ -25,15 +25,16 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapoint.llm.common import staged
+from terrapoint.llm.common import IdFilter, scratch, staged
 
 _WORD = re.compile(r"\w+")
-_KEPT_WORDS = 300_000
+_KEPT_WORDS = 150_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
 _KNOWN: dict[str, int] = {}
 
@@ -120,7 +121,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def classes(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity: float = 0.8, small: int = 8, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity: float = 0.8, small: int = 8, block: int = 512, least_agree: int = 4, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), words_id (the smallest doc_id with equal words) and links
     (verified links of its words' text to other texts) for every row."""
     spark = docs.sparkSession
@@ -148,6 +149,7 @@ def classes(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
     # Level 1: one key for each sketch. Only keys that several texts share go on.
     keys = sketched.select("id", F.posexplode("s").alias("j", "key")).select("id", "j", F.xxhash64("j", "key").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = staged(shared, "near-shared")  # written: both sides of the join are then dealt anew, and a hot key can be split
     held = staged(keys.join(shared, "key").select("id", "j", "key", "n"), "near-keys")
     central = held.groupBy("id").agg(F.sum(F.log2("n")).alias("weight"))
     members = held.join(central, "id")
@@ -155,6 +157,7 @@ def classes(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
     def stars(grouped: DataFrame) -> DataFrame:
         """Pairs of each member and the most central one of its group."""
         pivot = grouped.groupBy("key").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        pivot = staged(pivot.select("key", "pivot"), "near-pivots")
         return grouped.join(pivot, "key").where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
     few = held.where(F.col("n") <= small)
@@ -172,15 +175,20 @@ def classes(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
     pairs = staged(pairs.distinct(), "near-pairs")
 
     # Verification: the sequences of the texts that have candidates, joined to the pairs.
+    needed = IdFilter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    bits = spark.sparkContext.broadcast(needed.words)
+
     def sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
+                places = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((bits.value[places >> 6] >> (places & 63)) & 1 == 1))
                 made = [(shingles(word_hashes(t or ""), k) >> np.uint64(24)).astype("<u8") for t in batch.column(1).to_pylist()]
                 packed = [x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for x in made]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "seq"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sequences = staged(rows.join(needed, "doc_id", "left_semi").mapInArrow(sequence, "id long, seq binary").dropDuplicates(["id"]), "near-sequences")
+    placed = rows.where("doc_id is not null").withColumn("place", IdFilter.place(F.col("doc_id")))
+    sequences = staged(placed.mapInArrow(sequence, "id long, seq binary").dropDuplicates(["id"]), "near-sequences")
 
     def unpacked(raw: bytes) -> np.ndarray:
         wide = np.zeros((len(raw) // 5, 8), dtype=np.uint8)
@@ -199,7 +207,61 @@ def classes(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
     with_a = pairs.join(sequences.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a")
     both = with_a.join(sequences.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
     links = staged(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "near-links")
-    parts = components(links)
+    parts = staged(components(links), "near-parts")
+
+    # The rest: members of crowded groups that the stars left in different parts, compared block by block.
+    ids = held.where(F.col("n") > small).select("key", "id", "n", "j").join(parts.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    by_root = ids.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = staged(by_root.groupBy("key").agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "main"), "near-mixed")
+    open_members = staged(ids.join(mixed, "key").withColumn("blocks", F.ceil(F.col("n") / block)), "near-open")
+    if open_members.isEmpty():
+        more = links.limit(0)
+    else:
+        path = scratch(spark, "near-full")
+        full = staged(open_members.join(sketched, "id").join(sequences, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))), "near-full", path)
+        again = spark.read.schema(full.schema).parquet(path)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        columns = ["key", "id", "j", "root", "main", "s", "seq"]
+        minor = full.where("root != main").select(*columns, F.col("own").alias("x"), other.alias("y"))
+        every = again.select(*columns, other.alias("x"), F.col("own").alias("y"))
+
+        def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            """Links between the two sides' texts that lie in different parts. A pair is looked at in the group of
+            its first common sketch, the likeliest first, and not once its parts have met."""
+            found: list[tuple[int, int]] = []
+            if len(left) and len(right):
+                a, b, j = np.stack(left["s"].to_numpy()), np.stack(right["s"].to_numpy()), int(left["j"].iloc[0])
+                same = a[:, None, :] == b[None, :, :]
+                agree = same.sum(axis=2, dtype=np.int16)
+                ra, rb, ia, ib = left["root"].to_numpy(), right["root"].to_numpy(), left["id"].to_numpy(), right["id"].to_numpy()
+                wanted = (agree >= least_agree) & ~same[:, :, :j].any(axis=2) & (ra[:, None] != rb[None, :]) & ((ia[:, None] < ib[None, :]) | (rb == right["main"].to_numpy())[None, :])
+                at_a, at_b = np.nonzero(wanted)
+                joined: dict[int, int] = {}
+
+                def part(r: int) -> int:
+                    while r in joined:
+                        r = joined[r]
+                    return r
+
+                sa, sb = {}, {}
+                for n in np.argsort(-agree[at_a, at_b], kind="stable"):
+                    p, q = int(at_a[n]), int(at_b[n])
+                    x, y = part(int(ra[p])), part(int(rb[q]))
+                    if x == y:
+                        continue
+                    if p not in sa:
+                        sa[p] = unpacked(left["seq"].iloc[p])
+                    if q not in sb:
+                        sb[q] = unpacked(right["seq"].iloc[q])
+                    if aligned_similarity(sa[p], sb[q], similarity) >= similarity - 1e-9:
+                        found.append((min(int(ia[p]), int(ib[q])), max(int(ia[p]), int(ib[q]))))
+                        joined[max(x, y)] = min(x, y)
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+        more = staged(minor.groupBy("key", "x", "y").cogroup(every.groupBy("key", "x", "y")).applyInPandas(compare, "a long, b long"), "near-more")
+    if not more.isEmpty():
+        links = staged(links.unionByName(more).distinct(), "near-all-links")
+        parts = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("words_id")).groupBy("words_id").agg(F.count(F.lit(1)).alias("links"))
     named = words.join(parts.select(F.col("id").alias("words_id"), "root"), "words_id", "left").join(degree, "words_id", "left")
     named = named.select("digest", "words_id", F.coalesce("root", "words_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

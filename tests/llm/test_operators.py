@@ -123,6 +123,20 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_dup.classes(docs(spark, [])).count() == 0
 
 
+def test_large_families_lose_no_link(spark):
+    rng = random.Random(11)
+    base = words(rng, 150)
+    texts = {i: edited(rng, base, rng.randrange(1, 14)) for i in range(140)}
+    for i in range(140, 200):
+        texts[i] = edited(rng, texts[rng.randrange(140)], rng.randrange(1, 4))
+    with np.errstate(over="ignore"):
+        made = {i: near_dup.shingles(near_dup.word_hashes(t), 5) for i, t in texts.items()}
+    links = [(a, b) for a in texts for b in texts if a < b and near_dup.aligned_similarity(made[a], made[b], 0.8) >= 0.8]
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(spark, list(texts.items()))).collect()}
+    assert links and not [p for p in links if got[p[0]] != got[p[1]]]
+    assert len(set(got.values())) > 1 and near_dup.classes(docs(spark, list(texts.items())), block=16).count() == 200
+
+
 def test_alignment_is_sensitive_to_order():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.aligned_similarity(a, a, 0.8) == 1.0
