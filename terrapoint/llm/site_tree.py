@@ -5,8 +5,11 @@ paths (tag, class, id and role, from the root). Each node has two kinds of impor
 presentation, the entropy (base n) of the child patterns it shows, and content, one less the mean entropy of where its
 texts occur: a text that stands in c of n pages counts log(c) / log(n). A node whose content is the same on nearly all
 pages and whose presentation never varies is template; it goes with its branch. What markup itself declares (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) has importance 0 on any host, and what
-it declares as an article is never judged by entropy, as one article may be copied onto many pages of a host.
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) has importance 0 on any host. An
+element it declares as an article is a prior: branches inside are judged by the tree too and go when their importance
+is under the threshold; branches that it leaves open, on a page with an article, stay when theirs is at least one less
+the threshold. As one article may be copied onto many pages of a host, branches inside articles are counted over the
+host's different articles (by their largest branch) instead of its pages, and a page's largest branch always stays.
 
 Texts stay on the executors: what is shuffled are (host, path, text) digests, summed before the shuffle, so a host with
 a third of all pages costs one row a task, path and text; only the paths to remove come back, joined by host.
@@ -97,10 +100,10 @@ def _judged(tag: str, attributes: str, outer: int) -> tuple[str, int]:
     return step, state
 
 
-def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The page's text blocks in order, and (path, pattern of its children) of the elements that markup leaves open."""
+def blocks(page: str) -> tuple[list[Block], list[tuple[str, int, str]]]:
+    """The page's text blocks in order, and (path, state, pattern of its children) of the elements that markup doesn't drop."""
     out: list[Block] = []
-    shapes: list[tuple[str, str]] = []
+    shapes: list[tuple[str, int, str]] = []
     stack: list[list] = [["", "", OPEN, []]]  # tag, path, state, children
     parts: list[str] = []
 
@@ -119,8 +122,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             if tag in BLOCK:
                 flush()
             stack.pop()
-            if state == OPEN and tag in BLOCK:
-                shapes.append((path, ",".join(children)))
+            if state != DROPPED and tag in BLOCK:
+                shapes.append((path, state, ",".join(children)))
 
     def end_open(kinds: tuple[str, ...], scope: frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -193,47 +196,69 @@ def extract(pages: DataFrame, least_pages: int = 8, threshold: float = 0.2, id_c
     site = F.lower(F.regexp_extract(F.when(at > 0, F.substring("url", at + 3, F.length("url"))).otherwise(""), "^[^/?#]*", 0))
     given = given.select("page_id", "url", "html", site.alias("host"))
 
-    # The style tree: digests of (path, child pattern) and (path, text), for paths that markup leaves open.
+    # The style tree: digests of (path, child pattern) and (path, text), for paths that markup doesn't drop. Inside an
+    # article they carry the article's digest, so that its copies count once; kind 2 holds the host's articles.
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, kinds, what = [], [], [], []
+            hosts, paths, kinds, what, wholes = [], [], [], [], []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found, shapes = blocks(page or "")
-                seen = {(_number(b.path), 1, _number(b.text)) for b in found if b.state == OPEN}
-                seen |= {(_number(path), 0, _number(shape)) for path, shape in shapes}
-                for path, kind, digest in sorted(seen):
+                main = largest(found)
+                whole = None if main is None else _number("\n".join(b.text for b in found if b.state == KEPT and b.path == main))
+                seen = {(_number(b.path), 1, _number(b.text), b.state) for b in found}
+                seen |= {(_number(path), 0, _number(shape), state) for path, state, shape in shapes}
+                if whole is not None:
+                    seen.add((0, 2, whole, KEPT))
+                for path, kind, digest, state in sorted(seen):
                     hosts.append(name)
                     paths.append(path)
                     kinds.append(kind)
                     what.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(what, pa.int64())], ["host", "path", "kind", "digest"])
-
-    seen = given.select("host", "html").mapInArrow(features, "host string, path long, kind int, digest long")
-    counts = seen.groupBy("host", "path", "kind", "digest").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    sums = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("forms"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum(F.log("c")).alias("logc"))
-    sizes = given.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+                    wholes.append(whole if state == KEPT else None)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(what, pa.int64()), pa.array(wholes, pa.int64())], ["host", "path", "kind", "digest", "whole"])
+
+    seen = given.select("host", "html").mapInArrow(features, "host string, path long, kind int, digest long, whole long")
+    copies = seen.groupBy("host", "path", "kind", "digest", "whole").agg(F.count(F.lit(1)).alias("c"))
+    kept = F.col("whole").isNotNull()
+    counts = copies.groupBy("host", "path", "kind", "digest", kept.alias("kept")).agg(F.sum(F.when(kept, 1).otherwise(F.col("c"))).cast("double").alias("c"))
+    sums = counts.groupBy("host", "path", "kind", "kept").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("forms"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum(F.log("c")).alias("logc"))
+    sums = staged(sums, "site-sums")
+    sizes = given.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumn("kept", F.lit(False))
+    sizes = sizes.unionByName(sums.where("kind = 2").select("host", F.col("forms").alias("pages"), F.lit(True).alias("kept")))
     n = F.log(F.greatest(F.col("pages").cast("double"), F.lit(2.0)))
     presentation = F.when(F.col("kind") == 0, (F.log("total") - F.col("clogc") / F.col("total")) / n)
     content = F.when(F.col("kind") == 1, 1 - F.col("logc") / F.col("forms") / n)
-    judged = sums.join(sizes, "host").where(F.col("pages") >= least_pages).withColumns({"presentation": presentation, "content": content})
-    importance = judged.groupBy("host", "path").agg(F.max("presentation").alias("presentation"), F.max("content").alias("content"))
-    low = importance.where(F.col("content").isNotNull() & (F.greatest(F.col("content"), F.coalesce("presentation", F.lit(0.0))) < threshold))
-    template = staged(low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template")), "site-templates")
+    judged = sums.where("kind < 2").join(sizes, ["host", "kept"]).where(F.col("pages") >= least_pages).withColumns({"presentation": presentation, "content": content})
+    importance = judged.groupBy("host", "path", "kept").agg(F.max("presentation").alias("presentation"), F.max("content").alias("content")).where("content is not null")
+    weight = F.greatest(F.col("content"), F.coalesce("presentation", F.lit(0.0)))
+    low, high = weight < threshold, ~F.col("kept") & (F.col("content") >= 1 - threshold)
+    lists = [F.sort_array(F.collect_list(F.when(which, F.col("path")))).alias(name) for name, which in (("template", low), ("important", high))]
+    template = staged(importance.where(low | high).groupBy("host").agg(*lists), "site-templates")
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for page, gone, sure in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 found, _ = blocks(page or "")
-                drop = set(gone or ())
-                texts.append("\n\n".join(chosen(found, drop)))
+                texts.append("\n\n".join(chosen(found, set(gone or ()), set(sure or ()))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    return given.join(template, "host", "left").select("page_id", "url", "html", "template").mapInArrow(main_text, "page_id long, url string, text string")
+    return given.join(template, "host", "left").select("page_id", "url", "html", "template", "important").mapInArrow(main_text, "page_id long, url string, text string")
+
+
+def largest(found: list[Block]) -> str | None:
+    """Path of the branch that holds most of what markup keeps; None without any."""
+    sizes: dict[str, int] = {}
+    for b in found:
+        if b.state == KEPT:
+            sizes[b.path] = sizes.get(b.path, 0) + len(b.text)
+    return max(sizes, key=sizes.__getitem__) if sizes else None
 
 
-def chosen(found: list[Block], template: set[int]) -> list[str]:
-    """Texts of the blocks that stay: those markup keeps, where it names an article with text; else those it leaves
-    open and the style tree finds important."""
-    kept = [b.text for b in found if b.state == KEPT]
-    return kept or [b.text for b in found if b.state == OPEN and _number(b.path) not in template]
+def chosen(found: list[Block], template: set[int], important: set[int] | frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the blocks that stay. Where markup names an article with text: its largest branch, its branches that
+    aren't template, and important ones outside; else those markup leaves open that aren't template."""
+    main = largest(found)
+    if main is None:
+        return [b.text for b in found if b.state == OPEN and _number(b.path) not in template]
+    return [b.text for b in found if (b.path == main or _number(b.path) not in template if b.state == KEPT else _number(b.path) in important)]

@@ -354,6 +354,19 @@ def test_templates_without_names_are_learned(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_the_style_tree_judges_articles_too(spark):
+    rng = random.Random(12)
+    copy = words(rng, 40)
+    page = lambda i, body: f"<body><div class=top>Welcome to all</div><article><h1>{words(rng, 4)}</h1><p>{body}</p><div class=legal>All rights are with us</div></article><div class=more><p>{words(rng, 9)}</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", page(i, words(rng, 30))) for i in range(20)] + [(i, f"http://h.org/{i}", page(i, copy)) for i in range(20, 60)]
+    rows += [(i, f"http://same.org/{i}", f"<article><h1>One title</h1><p>{copy}</p></article>") for i in range(60, 80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(df).collect()}
+    for i, _, h in rows[:60]:
+        assert got[i].split("\n\n") == re.findall(r"<(?:p|h1)>(w[^<]*)</", h)
+    assert {got[i] for i in range(60, 80)} == {f"One title\n\n{copy}"}
+
+
 def test_pages_equal_their_articles(spark):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in registered.op8_main_text(spark, SF).collect():
