@@ -186,6 +186,18 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert substring_dedup.cut(docs(spark, [])).count() == 0
 
 
+def test_passages_just_over_fifty_words_are_never_lost(spark):
+    rng = random.Random(13)
+    plain, line, han = [words(rng, 51) for _ in range(120)], [" ".join([words(rng, 2)] * 40) for _ in range(30)], ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60)) for _ in range(30)]
+    blob = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3000)) for _ in range(5)]
+    passages = plain + line + han + blob
+    texts = [(i + 1000 * k, f"{words(rng, 60)} {p} {words(rng, 60)}") for k in range(2) for i, p in enumerate(passages)]
+    found = substring_dedup.spans(docs(spark, texts)).collect()
+    assert {r["doc_id"] for r in found} == {1000 + i for i in range(len(passages))}
+    assert substring_dedup.smallest(np.zeros(100, dtype=np.uint32), 10).size <= 12
+    assert len(substring_dedup.chunked("x" * 5000)[0]) <= 5000 // 24 + 1
+
+
 # Benchmark passages.
 
 
