@@ -7,8 +7,9 @@ one diagonal form runs; a run counts when it holds `least` tokens, or the whole
 are consistent: every value of the item's slots stands for one value of the document's and the other way round.
 
 Only expressions and SQL operators are used. The benchmark's windows are broadcast when they are few (`most_broadcast`,
-counted before), and joined by shuffle beyond that. Windows with fewer than half literal words are left out on the
-benchmark's side, as columns of numbers would match each other everywhere.
+counted before), and joined by shuffle beyond that. Windows with fewer than half literal words meet only with equal
+slots, as columns of numbers would match each other everywhere; windows on one diagonal that touch or overlap form one
+run, so others bridge them.
 
 Edge cases: null and empty texts, and texts shorter than an item, match nothing; items shorter than a window are
 compared whole; texts of any length are used whole; repeated rows and items give their own pairs once; rows with a null
@@ -79,7 +80,8 @@ def windows(texts: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     made = of(sizes[0])
     for size in sizes[1:]:
         made = made.unionByName(of(size))
-    return made
+    dense = F.size("slots") * 2 > F.col("size")
+    return made.withColumn("hash", F.when(dense, F.xxhash64("hash", "slots")).otherwise(F.col("hash")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 13, most_broadcast: int = 500_000) -> DataFrame:
@@ -89,11 +91,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
     lengths = items.select("item_id", "text", F.size(tokens(F.col("text"))).alias("item_tokens")).where("item_tokens > 0")
     short = [r["n"] for r in lengths.where(F.col("item_tokens") < window).select(F.col("item_tokens").alias("n")).distinct().collect()]  # window - 1 at most
     key = "item_id"
-    literal = F.size(F.coalesce("slots", F.array())) * 2 <= F.col("size")
     full = windows(lengths.where(F.col("item_tokens") >= window).select(key, "text"), key, [window])
     for n in sorted(short):
         full = full.unionByName(windows(lengths.where(F.col("item_tokens") == n).select(key, "text"), key, [n]))
-    marks = full.where(literal).join(lengths.groupBy(key).agg(F.max("item_tokens").alias("item_tokens")), key)
+    marks = full.join(lengths.groupBy(key).agg(F.max("item_tokens").alias("item_tokens")), key)
     marks = staged(marks.select("hash", key, F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "item_tokens"), "benchmark-windows")
     few = marks.limit(most_broadcast + 1).count() <= most_broadcast
 
@@ -102,7 +103,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
     hits = every.join(F.broadcast(marks) if few else marks, "hash")
     hits = hits.select("doc_id", key, "pos", "size", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d")).alias("pairs"))
     order = Window.partitionBy("doc_id", key, "diagonal", "size").orderBy("pos")
-    hits = hits.dropDuplicates(["doc_id", key, "diagonal", "size", "pos"]).withColumn("run", F.col("pos") - F.row_number().over(order))
+    far = F.coalesce(F.col("pos") - F.lag("pos").over(order) > F.col("size"), F.lit(True))
+    hits = hits.dropDuplicates(["doc_id", key, "diagonal", "size", "pos"]).withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(order))
     runs = hits.groupBy("doc_id", key, "diagonal", "size", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.col("size")).alias("tokens"), F.max("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct(F.col("pairs.i"))) == n) & (F.size(F.array_distinct(F.col("pairs.d"))) == n)

@@ -215,6 +215,14 @@ def test_templates_and_slots(spark):
     assert decontaminate.matches(docs(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_items_dense_in_slots_are_found(spark):
+    sums = "12 + 34 - 56 = 78, 90 + 21 - 43 = 65, 87 + 19 - 28 = 37, 46 + 55 - 64 = 73"
+    mixed = "we then add up the cost of 12 kg 34 lb 56 oz 78 and see how much is left"
+    benchmark = spark.createDataFrame([(1, sums), (2, mixed)], "item_id long, text string")
+    texts = [(1, f"see {sums} here"), (2, f"see {mixed} here"), (3, sums.replace("1", "7")), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18")]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs(spark, texts), benchmark).collect()} == {(1, 1), (2, 2)}
+
+
 def test_whole_items_are_found_like_brute_force(spark):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     token = lambda t: f" {' '.join(re.findall(r'[^\W\d_]+', t.lower()))} "
