@@ -4,7 +4,8 @@ Texts become tokens; numbers, names (capitalised words inside a sentence) and un
 placeholders, all other words are lower-cased. Windows of `window` tokens are hashed and hash-joined with those of the
 benchmark items, so a question whose numbers or names were changed still meets its template. Neighbouring windows on
 one diagonal form runs; a run counts when it holds `least` tokens, or the whole of a shorter item, and when its slots
-are consistent: every value of the item's slots stands for one value of the document's and the other way round.
+are consistent: every value of the item's slots stands for one value of the document's and the other way round. Windows
+with equal slots also form runs of their own, so a contradiction elsewhere doesn't hide a verbatim part.
 
 Only expressions and SQL operators are used. The benchmark's windows are broadcast when they are few (`most_broadcast`,
 counted before), and joined by shuffle beyond that. Windows with fewer than half literal words meet only with equal
@@ -102,10 +103,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
     every = windows(texts, "doc_id", [window, *sorted(short)])
     hits = every.join(F.broadcast(marks) if few else marks, "hash")
     hits = hits.select("doc_id", key, "pos", "size", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d")).alias("pairs"))
-    order = Window.partitionBy("doc_id", key, "diagonal", "size").orderBy("pos")
+    order = Window.partitionBy("doc_id", key, "diagonal", "size", "part").orderBy("pos")
     far = F.coalesce(F.col("pos") - F.lag("pos").over(order) > F.col("size"), F.lit(True))
-    hits = hits.dropDuplicates(["doc_id", key, "diagonal", "size", "pos"]).withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(order))
-    runs = hits.groupBy("doc_id", key, "diagonal", "size", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.col("size")).alias("tokens"), F.max("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    hits = hits.dropDuplicates(["doc_id", key, "diagonal", "size", "pos"])
+    verbatim = F.forall("pairs", lambda x: x["i"] == x["d"])
+    hits = hits.withColumn("part", F.explode(F.when(verbatim, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    hits = hits.withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(order))
+    runs = hits.groupBy("doc_id", key, "diagonal", "size", "part", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.col("size")).alias("tokens"), F.max("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     n = F.size("pairs")
     consistent = (F.size(F.array_distinct(F.col("pairs.i"))) == n) & (F.size(F.array_distinct(F.col("pairs.d"))) == n)
     good = runs.where((F.col("tokens") >= F.least(F.lit(least), F.col("item_tokens"))) & consistent)

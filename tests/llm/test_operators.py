@@ -215,6 +215,14 @@ def test_templates_and_slots(spark):
     assert decontaminate.matches(docs(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_one_changed_number_does_not_hide_a_copy(spark):
+    rng = random.Random(14)
+    item = f"{words(rng, 60).replace('w', 'x')} then 12 birds and 5 cats " + " ".join(rng.choices(["came", "went", "sat", "ran", "slept"], k=40))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, f"so {item.replace(' 12 birds', ' 5 birds')} again")]
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs(spark, texts), benchmark).collect()] == [(1, 1)]
+
+
 def test_items_dense_in_slots_are_found(spark):
     sums = "12 + 34 - 56 = 78, 90 + 21 - 43 = 65, 87 + 19 - 28 = 37, 46 + 55 - 64 = 73"
     mixed = "we then add up the cost of 12 kg 34 lb 56 oz 78 and see how much is left"
