@@ -134,7 +134,50 @@ def test_large_families_lose_no_link(spark):
     links = [(a, b) for a in texts for b in texts if a < b and near_dup.aligned_similarity(made[a], made[b], 0.8) >= 0.8]
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(spark, list(texts.items()))).collect()}
     assert links and not [p for p in links if got[p[0]] != got[p[1]]]
-    assert len(set(got.values())) > 1 and near_dup.classes(docs(spark, list(texts.items())), block=16).count() == 200
+    assert len(set(got.values())) > 1 and near_dup.classes(docs(spark, list(texts.items())), block_bytes=20_000).count() == 200
+
+
+def test_every_pair_that_shares_a_sketch_is_settled(spark):
+    """A family around one text, most of it under the similarity to it: no class may lose a link between candidates."""
+    rng = random.Random(12)
+    base, texts = words(rng, 120), {}
+    for i in range(2000):
+        texts[i] = edited(rng, base, rng.randrange(2, 7)) if i % 10 else edited(rng, texts.get(i - 7, base), 1)
+    seeds = np.random.default_rng(7).integers(1, 2**63, size=16, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        made = {i: near_dup.shingles(near_dup.word_hashes(t), 5) for i, t in texts.items()}
+        held = np.stack([near_dup.sketches(x, seeds, 3) for x in made.values()])
+        maps = np.stack([near_dup.parity(x) for x in made.values()])
+    want = []
+    for a in texts:
+        near = np.nonzero((held[a] == held[a + 1 :]).any(axis=1) & (np.bitwise_count(maps[a] ^ maps[a + 1 :]).sum(axis=1) <= 40))[0] + a + 1
+        want += [(a, int(b)) for b in near if near_dup.aligned_similarity(made[a], made[int(b)], 0.8) >= 0.8]
+    for block_bytes in (16 << 20, 200_000):
+        got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(spark, list(texts.items())), block_bytes=block_bytes).collect()}
+        assert len(want) > 1000 and not [p for p in want if got[p[0]] != got[p[1]]]
+    for a, b in want[:300]:
+        assert len(np.setxor1d(made[a], made[b])) >= np.bitwise_count(maps[a] ^ maps[b]).sum()
+
+
+def test_copies_up_to_the_threshold_are_found(spark):
+    """Recall by changed words of 200-word texts: one changed word costs five shingles, so four are within 0.8."""
+    rng, texts = random.Random(15), {}
+    for i in range(400):
+        texts[i] = words(rng, 200)
+        texts[1000 + i] = edited(rng, texts[i], 1 + i % 4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(spark, list(texts.items()))).collect()}
+    assert sum(got[1000 + i] == i for i in range(400)) >= 396
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    rng = random.Random(16)
+    a, b, c = words(rng, 60), words(rng, 60), words(rng, 60)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (4, c), (5, c), (None, c), (None, a + " x"), (6, ""), (6, ""), (None, None)]
+    assert {(r["doc_id"], r["class_id"]) for r in near_dup.classes(docs(spark, rows)).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (None, 4), (None, 1), (6, 6), (None, None)}
+    kept = near_dup.one_of_each(docs(spark, rows))
+    assert kept.columns == docs(spark, []).columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (4, c), (6, ""), (6, ""), (None, None)]))
+    assert near_dup.one_of_each(docs(spark, [])).count() == 0
 
 
 def test_alignment_is_sensitive_to_order():
