@@ -7,10 +7,9 @@ one's docs. All stages but the last return the columns of documents; the last re
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terrapoint.llm import decontaminate, near_dup, packing, quality, substring_dedup
-from terrapoint.llm.common import fold, ship, staged, table, without_ids
+from terrapoint.llm.common import fold, ship, staged, table
 from terrapoint.llm.queries import WINDOW, tokenizer_path
 
 
@@ -22,10 +21,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class."""
+    """One document of each near-duplicate class, that with the smallest id."""
     ship(spark)
-    copies = staged(near_dup.classes(docs).where("doc_id != class_id").select(F.col("doc_id").alias("id")).distinct(), "near-copies")
-    return without_ids(docs, "doc_id", copies)
+    return near_dup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
