@@ -1,20 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens; numbers, names (capitalised words inside a sentence) and units (after a number) become typed
-placeholders, all other words are lower-cased. Windows of `window` tokens are hashed and hash-joined with those of the
-benchmark items, so a question whose numbers or names were changed still meets its template. Neighbouring windows on
-one diagonal form runs; a run counts when it holds `least` tokens, or the whole of a shorter item, and when its slots
-are consistent: every value of the item's slots stands for one value of the document's and the other way round. Windows
-with equal slots also form runs of their own, so a contradiction elsewhere doesn't hide a verbatim part.
-
-Only expressions and SQL operators are used. The benchmark's windows are broadcast when they are few (`most_broadcast`,
-counted before), and joined by shuffle beyond that. Windows with fewer than half literal words meet only with equal
-slots, as columns of numbers would match each other everywhere; windows on one diagonal that touch or overlap form one
-run, so others bridge them.
+Texts become tokens; numbers, names (capitalised words that are no function words, several in a row being one name) and
+units (after a number) become typed placeholders wherever they stand, all other words are lower-cased. Windows of
+`window` tokens are hashed and hash-joined with those of the benchmark items, so a question whose numbers or names were
+changed still meets its template. Neighbouring windows on one diagonal form runs. Inside a run, slots are consistent
+as long as every value of the item's slots stands for one value of the document's and the other way round; a run is
+divided where a slot contradicts an earlier one, and the longest consistent stretch counts when it holds `least`
+tokens, or the whole of a shorter item.
+
+Only expressions and SQL operators are used. Windows are hashed first; slots are compared for those that met one of the
+benchmark's. The benchmark's windows are broadcast when they are few (`most_broadcast`, counted before), and joined by
+shuffle beyond that. Windows with fewer than half literal words are hashed with their slots' values, as columns of
+numbers would match each other everywhere; windows on one diagonal that touch or overlap form one run, so others bridge
+them. What is rewritten word by word, or has words put in every few tokens, is no longer its template and isn't found.
 
 Edge cases: null and empty texts, and texts shorter than an item, match nothing; items shorter than a window are
-compared whole; texts of any length are used whole; repeated rows and items give their own pairs once; rows with a null
-doc_id match nothing and stay; an empty table on either side gives no pairs; other columns stay, whatever their names.
+compared whole; texts of any length are used whole; repeated rows and items give their own pairs once, rows that share a
+doc_id or items that share an item_id but no text are compared each by itself and give the longest stretch of the pair;
+rows with a null doc_id match nothing and stay; an empty table on either side gives no pairs; other columns stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,25 +35,33 @@ UNITS = (
     "year", "years", "meter", "meters", "mile", "miles", "gram", "grams", "liter", "liters", "percent", "dollar",
     "dollars", "euro", "euros", "cent", "cents", "%", "$", "€", "£",
 )
-_NAME = "(?<=[\\p{L}\\p{N},;] )(\\p{Lu}\\p{Ll}+)"
-_TOKEN = "\\u0001?\\p{L}+|\\p{N}+(?:[.,]\\p{N}+)*|[%$€£]"
+#: Words that may begin a sentence and are no names, a parameter. Fixed values.
+FUNCTION_WORDS = (
+    "a", "after", "all", "an", "and", "are", "as", "at", "before", "but", "by", "calculate", "can", "did", "do", "does",
+    "each", "every", "find", "for", "from", "given", "has", "have", "he", "her", "his", "how", "if", "in", "is", "it",
+    "its", "let", "many", "much", "no", "not", "of", "on", "one", "or", "she", "so", "some", "suppose", "that", "the",
+    "their", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "where",
+    "which", "who", "why", "will", "with", "you",
+)
+_PLAIN = "|".join(w.capitalize() for w in FUNCTION_WORDS)
+_ONE_NAME = f"(?!(?:{_PLAIN})(?!\\p{{L}}))\\p{{Lu}}\\p{{Ll}}++(?!\\p{{L}})"
+_TOKEN = f"{_ONE_NAME}(?: {_ONE_NAME})*|\\p{{L}}++|\\p{{N}}++(?:[.,]\\p{{N}}++)*|[%$€£]"
 
 
 def tokens(text: Column) -> Column:
-    """Raw tokens; a name has the mark U+0001 before it."""
-    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), "\u0001", " ")
-    return F.regexp_extract_all(F.regexp_replace(clean, _NAME, "\u0001$1"), F.lit(_TOKEN), F.lit(0))
+    """Raw tokens; a name of several words is one."""
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
 def canonical(raw: str, units: tuple[str, ...] = UNITS) -> Column:
     """Tokens of the column raw with placeholders: #n for numbers, #w for names, #u for units after a number."""
     known = F.array(*[F.lit(u) for u in units])
-    number = lambda x: x.rlike("^\\p{N}")
+    number = lambda x: F.ascii(x).between(48, 57) | ((F.ascii(x) > 127) & x.rlike("^\\p{N}"))
 
     def one(x: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(F.col(raw), i - 1))
         word = F.lower(x)
-        return F.when(number(x), "#n").when(x.startswith("\u0001"), "#w").when(F.coalesce(number(before), F.lit(False)) & F.array_contains(known, word), "#u").otherwise(word)
+        before = F.coalesce(number(F.get(F.col(raw), i - 1)), F.lit(False))
+        return F.when(number(x), "#n").when((word != x) & x.rlike(f"^{_ONE_NAME}"), "#w").when(before & F.array_contains(known, word), "#u").otherwise(word)
 
     return F.transform(F.col(raw), one)
 
@@ -60,61 +72,86 @@ def _held(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
-def windows(texts: DataFrame, key: str, sizes: list[int]) -> DataFrame:
-    """key, pos, size, hash and slots (type and value of the window's placeholders) of all windows of these sizes.
-    texts: key and text."""
+def windows(texts: DataFrame, keys: list[str], sizes: list[int], dense: bool = True) -> DataFrame:
+    """keys, pos, size, by_value, hash and the raw and canonical tokens of all windows of these sizes. Each has a row
+    with the hash of its template (by_value false); with `dense`, those of texts with slots also have one with the hash
+    of their slots' values. texts: keys and text."""
     slot = lambda x: x.startswith("#")
-    cut = _held(texts, [key], [tokens(F.col("text")).alias("raw")])
-    cut = _held(cut, [key, "raw"], [canonical("raw").alias("can")])
-    cut = _held(cut, [key, "raw", "can"], [F.transform("can", lambda x: F.xxhash64(x)).alias("h"), F.exists("can", slot).alias("slotted")])
+    cut = _held(texts, keys, [tokens(F.col("text")).alias("raw")])
+    cut = _held(cut.where(F.size("raw") >= min(sizes)), [*keys, "raw"], [canonical("raw").alias("can")])
+    cut = _held(cut, [*keys, "raw", "can"], [F.transform("can", lambda x: F.xxhash64(x)).alias("h")])
+    cut = cut.withColumn("by_value", F.lit(False))
+    if dense:
+        valued = F.zip_with("can", "raw", lambda c, r: F.xxhash64(c, F.when(slot(c), F.lower(r))))
+        cut = cut.unionByName(_held(cut.where(F.exists("can", slot)).drop("h", "by_value"), [*keys, "raw", "can"], [valued.alias("h"), F.lit(True).alias("by_value")]))
 
     def of(size: int) -> DataFrame:
         last = F.size("h") - size
-
-        def window(i: Column) -> Column:
-            pairs = F.zip_with(F.slice("can", i + 1, size), F.slice("raw", i + 1, size), lambda c, r: F.when(slot(c), F.concat(c, F.lower(r))))
-            slots = F.when(F.col("slotted"), F.filter(pairs, lambda x: x.isNotNull()))
-            return F.struct(i.alias("pos"), F.xxhash64(F.lit(size), F.slice("h", i + 1, size)).alias("hash"), slots.alias("slots"))
-
-        return cut.where(last >= 0).select(key, F.lit(size).alias("size"), F.inline(F.transform(F.sequence(F.lit(0), last), window)))
+        window = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), "by_value", F.slice("h", i + 1, size)).alias("hash"), F.slice("raw", i + 1, size).alias("raw"), F.slice("can", i + 1, size).alias("can"))
+        return cut.where(last >= 0).select(*keys, F.lit(size).alias("size"), "by_value", F.inline(F.transform(F.sequence(F.lit(0), last), window)))
 
     made = of(sizes[0])
     for size in sizes[1:]:
         made = made.unionByName(of(size))
-    dense = F.size("slots") * 2 > F.col("size")
-    return made.withColumn("hash", F.when(dense, F.xxhash64("hash", "slots")).otherwise(F.col("hash")))
+    return made
+
+
+def _slots(can: str, raw: str) -> Column:
+    """(at, value) of a window's placeholders: place in the window, type and value."""
+    pairs = F.transform(F.arrays_zip(F.col(can).alias("c"), F.col(raw).alias("r")), lambda x, i: F.struct(i.alias("at"), F.when(x["c"].startswith("#"), F.concat(x["c"], F.lower(x["r"]))).alias("value")))
+    return F.filter(pairs, lambda x: x["value"].isNotNull())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 13, most_broadcast: int = 500_000) -> DataFrame:
-    """doc_id, item_id, start (token), tokens (of the longest consistent run), item_tokens and slots of each leaked
-    pair. benchmark: item_id and text."""
+    """doc_id, item_id, start (token), tokens (of the longest consistent stretch), item_tokens and slots (tokens of the
+    stretch that are slots) of each leaked pair. benchmark: item_id and text."""
+    item = ["item_id", "item_hash"]
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
-    lengths = items.select("item_id", "text", F.size(tokens(F.col("text"))).alias("item_tokens")).where("item_tokens > 0")
-    short = [r["n"] for r in lengths.where(F.col("item_tokens") < window).select(F.col("item_tokens").alias("n")).distinct().collect()]  # window - 1 at most
-    key = "item_id"
-    full = windows(lengths.where(F.col("item_tokens") >= window).select(key, "text"), key, [window])
-    for n in sorted(short):
-        full = full.unionByName(windows(lengths.where(F.col("item_tokens") == n).select(key, "text"), key, [n]))
-    marks = full.join(lengths.groupBy(key).agg(F.max("item_tokens").alias("item_tokens")), key)
-    marks = staged(marks.select("hash", key, F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"), "item_tokens"), "benchmark-windows")
+    lengths = items.select("item_id", F.xxhash64("text").alias("item_hash"), "text", F.size(tokens(F.col("text"))).alias("item_tokens")).where("item_tokens > 0")
+    short = sorted(r["n"] for r in lengths.where(F.col("item_tokens") < window).select(F.col("item_tokens").alias("n")).distinct().collect())  # window - 1 at most
+    full = windows(lengths.where(F.col("item_tokens") >= window).select(*item, "text"), item, [window])
+    for n in short:
+        full = full.unionByName(windows(lengths.where(F.col("item_tokens") == n).select(*item, "text"), item, [n]))
+    full = full.withColumn("slots", _slots("can", "raw")).where((F.size("slots") * 2 > F.col("size")) == F.col("by_value"))
+    marks = full.join(lengths.select(*item, "item_tokens"), item)
+    marks = staged(marks.select("hash", "by_value", *item, F.col("pos").alias("item_pos"), F.col("slots.value").alias("item_slots"), "item_tokens"), "benchmark-windows")
     few = marks.limit(most_broadcast + 1).count() <= most_broadcast
+    dense = not marks.where("by_value").isEmpty()
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = windows(texts, "doc_id", [window, *sorted(short)])
+    own = ["doc_id", "doc_hash"]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    every = windows(texts, own, [window, *short], dense).drop("by_value")
+    marks = marks.drop("by_value")
     hits = every.join(F.broadcast(marks) if few else marks, "hash")
-    hits = hits.select("doc_id", key, "pos", "size", "item_tokens", (F.col("pos") - F.col("item_pos")).alias("diagonal"), F.arrays_zip(F.coalesce("item_slots", F.array().cast("array<string>")).alias("i"), F.coalesce("slots", F.array().cast("array<string>")).alias("d")).alias("pairs"))
-    order = Window.partitionBy("doc_id", key, "diagonal", "size", "part").orderBy("pos")
+    values = F.zip_with(_slots("can", "raw"), "item_slots", lambda d, i: F.struct((F.col("pos") + d["at"]).alias("t"), i.alias("i"), d["value"].alias("d")))
+    line = [*own, *item, "size", "diagonal"]
+    hits = hits.select(*own, *item, "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", "item_tokens", values.alias("slots"))
+    hits = hits.repartition(*own, *item).dropDuplicates([*line, "pos"])
+
+    # Runs, and in each of them a row for every window's start and every slot.
+    order = Window.partitionBy(*line).orderBy("pos")
     far = F.coalesce(F.col("pos") - F.lag("pos").over(order) > F.col("size"), F.lit(True))
-    hits = hits.dropDuplicates(["doc_id", key, "diagonal", "size", "pos"])
-    verbatim = F.forall("pairs", lambda x: x["i"] == x["d"])
-    hits = hits.withColumn("part", F.explode(F.when(verbatim, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     hits = hits.withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(order))
-    runs = hits.groupBy("doc_id", key, "diagonal", "size", "part", "run").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + F.col("size")).alias("tokens"), F.max("item_tokens").alias("item_tokens"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    n = F.size("pairs")
-    consistent = (F.size(F.array_distinct(F.col("pairs.i"))) == n) & (F.size(F.array_distinct(F.col("pairs.d"))) == n)
-    good = runs.where((F.col("tokens") >= F.least(F.lit(least), F.col("item_tokens"))) & consistent)
-    best = good.groupBy("doc_id", key).agg(F.max(F.struct("tokens", (-F.col("start")).alias("s"), F.col("item_tokens").alias("t"), n.alias("n"))).alias("m"))
-    return best.select("doc_id", key, (-F.col("m.s")).alias("start"), F.col("m.tokens").alias("tokens"), F.col("m.t").alias("item_tokens"), F.col("m.n").alias("slots"))
+    run = [*line, "run"]
+    whole = Window.partitionBy(*run)
+    hits = hits.withColumns({"first": F.min("pos").over(whole), "stop": F.max("pos").over(whole) + F.col("size")})
+    start = F.array(F.struct(F.col("pos").alias("t"), F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("d")))
+    places = hits.select(*run, "first", "stop", "item_tokens", F.inline(F.concat(start, "slots"))).dropDuplicates([*run, "t", "i"])
+
+    # The last earlier slot that a slot contradicts, and from there the consistent stretches.
+    against = []
+    for same, other in (("i", "d"), ("d", "i")):
+        by = Window.partitionBy(*run, same).orderBy("t")
+        name = f"against_{same}"
+        places = places.withColumn(name, F.when(F.lag(other).over(by) != F.col(other), F.lag("t").over(by))).withColumn(name, F.when(F.col(same).isNotNull(), F.max(name).over(by)))
+        against.append(F.coalesce(name, F.lit(-1)))
+    places = places.withColumn("after", F.max(F.greatest(*against)).over(Window.partitionBy(*run).orderBy("t")))
+    parts = places.groupBy(*run, "first", "stop", "item_tokens", "after").agg(F.min("t").alias("t"), F.count("i").alias("slots"))
+    end = F.coalesce(F.lead("t").over(Window.partitionBy(*run).orderBy("after")), F.col("stop"))
+    begin = F.greatest(F.col("after") + 1, F.col("first"))
+    good = parts.withColumns({"start": begin, "tokens": end - begin}).where(F.col("tokens") >= F.least(F.lit(least), F.col("item_tokens")))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("tokens", (-F.col("start")).alias("s"), F.col("item_tokens").alias("t"), F.col("slots").alias("n"))).alias("m"))
+    return best.select("doc_id", "item_id", (-F.col("m.s")).alias("start"), F.col("m.tokens").alias("tokens"), F.col("m.t").alias("item_tokens"), F.col("m.n").cast("int").alias("slots"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 13) -> DataFrame:
