@@ -6,7 +6,7 @@ presentation, the entropy (base n) of the child patterns it shows, and content,
 texts occur: a text that stands in c of n pages counts log(c) / log(n). A node whose content is the same on nearly all
 pages and whose presentation never varies is template; it goes with its branch. What markup itself declares (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) has importance 0 on any host. An
-element it declares as an article is a prior: branches inside are judged by the tree too and go when their importance
+element it declares as an article (by its tag or role, or by a class that holds most of the open text) is a prior: branches inside are judged by the tree too and go when their importance
 is under the threshold; branches that it leaves open, on a page with an article, stay when theirs is at least one less
 the threshold. As one article may be copied onto many pages of a host, branches inside articles are counted over the
 host's different articles (by their largest branch) instead of its pages, and a page's largest branch always stays.
@@ -35,26 +35,34 @@ from terrapoint.llm.common import staged
 
 #: HTML elements by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6"
     " head header hgroup html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption legend option select".split()
 )
-BOILERPLATE = frozenset("nav header footer aside form script style head menu dialog button select noscript template iframe svg math textarea input label fieldset title search object".split())
+BOILERPLATE = frozenset("nav header footer aside form script style head menu dialog button select noscript template iframe svg textarea input label fieldset title search".split())
 #: Elements that end an open p, and elements that end open siblings of their own kind.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol table dl select body html article section div main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class or id that name a part that is not the article.
+#: Whole names in class or id of a part that is not the article: a word of the middle line, with those around it.
 _NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsbygoogle|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay"
-    r"|newsletter|subscri\w+|sign-?up|login|comments?|comment-?list|disqus|replies|respond|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|skip-?link|toc|copyright)(?=$|[\s_-])",
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|sticky|fixed|post|entry|article|user|the|js|g|l|c)[_-])*"
+    r"(?:ads?|adverts?|advertisements?|adsbygoogle|adsense|banner|sponsor(?:ed|s)?|promos?|promoted|promotions?|nav|navbar|navigation|menu|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay"
+    r"|newsletter|subscribe|subscriptions?|sign-?up|log-?in|comments?|disqus|replies|respond|share|sharing|social|related|recommended|recommendations?|widgets?|toolbar|pagination|pager|skip-?link|toc|copyright)"
+    r"(?:[_-]?(?:container|wrapper|box|bar|area|block|section|list|items?|inner|unit|slot|links?|menu|nav|posts?|articles?|stories|news|forms?|buttons?|icons?|modal|popup|banner|overlay|message|notice|policy|media|thread|top|bottom|left|right|[0-9]+))*",
     re.IGNORECASE,
 )
-_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story)[_-]?(?:body|content|text)?(?=$|[\s_-])", re.IGNORECASE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_HEADING = re.compile(r"(?:(?:post|entry|article|page|main|story|content)[_-])?header(?:[_-](?:inner|wrapper|container))?", re.IGNORECASE)
+_ARTICLE = re.compile(r"(?:main[_-])?(?:article|post|entry|story)(?:[_-]?(?:body|content|text))?", re.IGNORECASE)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s>/]*)[^>]*(?:>|$)|<([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
+    r"|<([a-zA-Z][^\s>/]*)([^>]*)(?:>|$)",  # a quote that never ends
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 
@@ -67,36 +75,40 @@ class Block:
         self.path, self.state, self.text = path, state, text
 
 
-DROPPED, OPEN, KEPT = -1, 0, 1
+DROPPED, OPEN, KEPT, LIKELY = -1, 0, 1, 2
 
 
 def _judged(tag: str, attributes: str, outer: int) -> tuple[str, int]:
     """(step of the path, state) of an element under one of state `outer`."""
     if tag in BOILERPLATE:
-        inside = outer == KEPT and tag in ("header", "label")  # an article's own header holds its heading
+        inside = outer in (KEPT, LIKELY) and tag in ("header", "label")  # an article's own header holds its heading
         return tag, outer if inside else DROPPED
     step, state = tag, outer
-    named = ""
+    names: list[str] = []
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name == "role":
                 if value.lower() in ROLES:
                     state = DROPPED
-                elif value.lower() in ("main", "article") and state == OPEN:
+                elif value.lower() in ("main", "article") and state != DROPPED:
                     state = KEPT
                 step += f"[{value}]"
             elif name in ("class", "id"):
-                named += f" {value}"
+                names += value.split()
                 step += f"{'.' if name == 'class' else '#'}{re.sub(r'[0-9]+', '0', value)}"
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 state = DROPPED
+    if tag in ("html", "body"):
+        return step, outer
     if outer == DROPPED or state == DROPPED:
         return step, DROPPED
-    if named and _NAMED.search(named):
+    if tag not in HEADINGS and any(_NAMED.fullmatch(n) and not (outer in (KEPT, LIKELY) and _HEADING.fullmatch(n)) for n in names):
         return step, DROPPED
-    if tag == "article" or tag == "main" or (named and _ARTICLE.search(named)):
+    if tag in ("article", "main"):
         return step, KEPT
+    if state == OPEN and any(_ARTICLE.fullmatch(n) for n in names):
+        return step, LIKELY
     return step, state
 
 
@@ -159,9 +171,9 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, int, str]]]:
                 if tag == "p":
                     flush()
             continue
-        if not m[2]:
+        if not (m[2] or m[4]):
             continue
-        tag, attributes = m[2].lower(), m[3] or ""
+        tag, attributes = (m[2] or m[4]).lower(), m[3] or m[5] or ""
         if tag in CLOSES_P:
             end_open(("p",), SCOPES - {"p"})
         if tag in SIBLINGS:
@@ -182,7 +194,12 @@ def blocks(page: str) -> tuple[list[Block], list[tuple[str, int, str]]]:
         stack.append([tag, f"{stack[-1][1]}>{step}" if tag in BLOCK else stack[-1][1], state, []])
     flush()
     close(1)
-    return out, shapes
+    # What a class name alone calls an article is one if it holds most of the text, and no element is one outright.
+    sizes = {state: sum(len(b.text) for b in out if b.state == state) for state in (OPEN, KEPT, LIKELY)}
+    likely = KEPT if not sizes[KEPT] and sizes[LIKELY] >= sizes[OPEN] else OPEN
+    for b in out:
+        b.state = likely if b.state == LIKELY else b.state
+    return out, [(path, likely if state == LIKELY else state, shape) for path, state, shape in shapes]
 
 
 def _number(text: str) -> int:
