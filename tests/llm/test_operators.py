@@ -229,6 +229,16 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert substring_dedup.cut(docs(spark, [])).count() == 0
 
 
+def test_texts_that_share_an_id_keep_their_own_spans(spark):
+    rng = random.Random(19)
+    passage, unique = words(rng, 80), words(rng, 300)
+    df = docs(spark, [(1, f"{words(rng, 50)} {passage}"), (2, f"{passage} {words(rng, 30)}"), (2, unique), (2, unique)])
+    kept = substring_dedup.cut(df).collect()
+    assert sorted(len(r["text"].split()) >= 300 for r in kept if r["doc_id"] == 2) == [False, True, True]
+    assert [r["text"] for r in kept].count(unique) == 2 and all(passage not in r["text"] for r in kept if r["doc_id"] == 2)
+    assert len(substring_dedup.spans(df).collect()) == 1
+
+
 def test_passages_just_over_fifty_words_are_never_lost(spark):
     rng = random.Random(13)
     plain, line, han = [words(rng, 51) for _ in range(120)], [" ".join([words(rng, 2)] * 40) for _ in range(30)], ["".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(60)) for _ in range(30)]
@@ -251,9 +261,9 @@ def test_templates_and_slots(spark):
     benchmark = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (None, "x"), (1, item)], "item_id long, text string")
     texts = [(1, same), (2, torn), (3, item), (4, "nothing of the kind, but two words here"), (5, item[:30]), *ODD]
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs(spark, texts), benchmark).collect()}
-    assert got == {(1, 1), (3, 1), (4, 2)}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 2)}
     kept = decontaminate.drop_leaked(docs(spark, texts), benchmark)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in [(2, 0), (5, 0), *ODD]) and kept.columns == docs(spark, []).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in [(5, 0), *ODD]) and kept.columns == docs(spark, []).columns
     assert decontaminate.matches(docs(spark, []), benchmark).count() == 0
     assert decontaminate.matches(docs(spark, texts), benchmark.limit(0)).count() == 0
 
@@ -266,6 +276,50 @@ def test_one_changed_number_does_not_hide_a_copy(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs(spark, texts), benchmark).collect()] == [(1, 1)]
 
 
+def test_renamed_questions_are_found(spark):
+    """Names at sentence starts and names of two words, too; a contradiction leaves the longest consistent stretch."""
+    item = "Tom has 5 apples. Tom gives 2 to Mary Ann. Mary Ann eats 1 of them. How many apples are left in the end?"
+    text = "Well: Sam has 7 apples. Sam gives 3 to Anna. Anna eats 4 of them. How many apples are left in the end? Yes."
+    mixed = text.replace("Anna eats", "Sam eats")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.matches(docs(spark, [(1, text), (2, mixed), (3, "Sam has 7 apples")]), benchmark).collect()}
+    assert set(got) == {1, 2} and got[1]["tokens"] == got[1]["item_tokens"] == 22 and got[1]["slots"] == 7
+    assert got[2]["tokens"] == 13 and got[2]["start"] == 10
+
+
+def test_stretches_equal_brute_force(spark):
+    """Items whose slots were changed, some of them inconsistently, and partly copied ones."""
+    rng, items, texts = random.Random(18), {}, {}
+    number = re.compile("[0-9]")
+    for i in range(40):
+        items[i] = " ".join(str(rng.randrange(1, 6)) if rng.random() < 0.2 else rng.choice(["came", "went", "sat", "ran", "slept", f"x{'abcdefgh'[rng.randrange(8)]}"]) for _ in range(40))
+        new = {str(a): str(b) for a, b in zip(range(1, 6), rng.sample(range(10, 90), 5), strict=True)}
+        copied = [new[t] if number.match(t) else t for t in items[i].split()]
+        for _ in range(rng.randrange(3)):
+            at = rng.choice([k for k, t in enumerate(copied) if number.match(t)])
+            copied[at] = str(rng.randrange(10, 90))
+        low = rng.randrange(20)
+        texts[i] = " ".join(["then", *copied[low : low + rng.randrange(10, 41)], "and so on"])
+    want = {}
+    for i in items:
+        a, b = items[i].split(), texts[i].split()
+        for shift in range(-len(a), len(b)):
+            best = 0
+            run = [k for k in range(len(a)) if 0 <= k + shift < len(b) and (a[k] == b[k + shift] if not number.match(a[k]) else number.match(b[k + shift]))]
+            for k in run:
+                there, back, n = {}, {}, 0
+                while k + n in run:
+                    x, y = a[k + n], b[k + n + shift]
+                    if number.match(x) and (there.setdefault(x, y) != y or back.setdefault(y, x) != x):
+                        break
+                    n += 1
+                best = max(best, n)
+            want[i] = max(want.get(i, 0), best)
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r["doc_id"]: r["tokens"] for r in decontaminate.matches(docs(spark, list(texts.items())), benchmark).collect() if r["doc_id"] == r["item_id"]}
+    assert got == {i: n for i, n in want.items() if n >= 13} and 5 < len(got) < 40
+
+
 def test_items_dense_in_slots_are_found(spark):
     sums = "12 + 34 - 56 = 78, 90 + 21 - 43 = 65, 87 + 19 - 28 = 37, 46 + 55 - 64 = 73"
     mixed = "we then add up the cost of 12 kg 34 lb 56 oz 78 and see how much is left"
@@ -352,11 +406,37 @@ def test_counterfactual_penalty_protects_neutral_mentions():
     change = np.zeros((50, 4), dtype=np.float32)
     change[:, number["muslim"]], change[:, number["jewish"]] = -1, 1
     x = np.array(rows, dtype=np.float32)
-    free, _ = toxicity.solve(x, np.array(y), np.ones(400), np.zeros((0, 4), dtype=np.float32), 10.0)
+    change = change.T @ change / len(change)
+    free, _ = toxicity.solve(x, np.array(y), np.ones(400), 0 * change, 10.0)
     fair, _ = toxicity.solve(x, np.array(y), np.ones(400), change, 10.0)
     gap = lambda w: abs(w[0] - w[1])
     assert gap(fair) < 0.2 * gap(free)
-    assert toxicity.swapped("A Muslim came. Nobody else!", ("muslim", "jewish")) == [("a muslim came", "a jewish came")]
+    assert toxicity.swapped("A Muslim came. Nobody else!", [("muslim", "jewish")]) == [("a muslim came", "a jewish came")]
+
+
+def test_counterfactual_penalty_through_fit(spark):
+    """A word of one group stands in most toxic texts: with the penalty a swap moves the score less, and neutral
+    mentions of the group stay under the threshold."""
+    rng, rows, labels = random.Random(17), [], []
+    for i in range(600):
+        toxic = i % 2
+        group = "muslim" if rng.random() < (0.8 if toxic else 0.1) else "jewish" if rng.random() < 0.3 else ""
+        insult = "scumbag" if toxic and rng.random() < 0.9 else ""
+        rows.append((i, f"{words(rng, 12, 60)} {group} {insult} {words(rng, 6, 60)}. {words(rng, 8, 60)}"))
+        labels.append((i, 1, toxic))
+    df, marks = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    free, fair = (toxicity.fit(df, marks, F.lit(True), fairness=f) for f in (0.0, 10.0))
+    assert fair.pairs == free.pairs > 200 and fair.change < 0.3 * free.change
+    neutral = [f"{words(rng, 20, 60)} muslim {words(rng, 5, 60)}" for _ in range(50)]
+    assert sum(fair.logit(t) >= np.log(0.3 / 0.7) for t in neutral) < sum(free.logit(t) >= np.log(0.3 / 0.7) for t in neutral)
+    long = "z" * 300_000
+    assert toxicity.Scorer({long: 1.0}, 0.0).logit(f"a {long}") == 1.0
+
+
+def test_pairs_come_from_the_given_documents(spark):
+    d = "/root/testdata/sf0.01"
+    model = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"), F.lit(True))
+    assert model.pairs > 1000
 
 
 # Urls.
@@ -404,6 +484,10 @@ PAGE = "<html><head><title>t</title><style>p{}</style></head><body><header><h1>S
     ("<article><p>kept<div class=ad>buy</div><p>on</article>", ["kept", "on"]),
     ("<main><div><p>plain</p></div><!-- <p>no</p> --></main>", ["plain"]),
     ("<article><p>cut off &am", ["cut off &am"]),
+    ("<article data-title='Hidden treasures'><p title='a hidden valley'>one<div data-id=nav data-role=banner>two</div><h1 class=entry-header>three</h1>", ["one", "two", "three"]),
+    ("<article><div class=related-work>a</div><p>x <math><mi>y</mi></math> z<object>b</object><div class=related-posts>no</div><div class='entry-header'><h2>c</h2></div>", ["a", "x y zb", "c"]),
+    ("<div class=post>teaser</div><div><p>all the rest of the page</p></div>", ["teaser", "all the rest of the page"]),
+    ("<div class='post-content'><p>nearly all the text there is</p></div><div>other</div>", ["nearly all the text there is"]),
     ("<article><header><h2>Title</h2></header><p>1 &lt; 2 < 3</p><ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", ["Title", "1 < 2 < 3", "a", "b", "c", "d"]),
 ])
 def test_blocks(body, want):
@@ -413,6 +497,11 @@ def test_blocks(body, want):
     assert site_tree.chosen(site_tree.blocks(page)[0], set()) == want
 
 
+def test_classes_of_the_body_say_nothing():
+    assert site_tree.chosen(site_tree.blocks("<article><p class=x title='abc>text</p><p>more <i>of</i> it")[0], set()) == ["text", "more of it"]
+    assert site_tree.chosen(site_tree.blocks("<html class=no-ads><body class='has-sidebar menu'><p>text")[0], set()) == ["text"]
+
+
 def test_templates_without_names_are_learned(spark):
     rng = random.Random(8)
     page = lambda i: f"<body><div class=top><p>Welcome to our shop of all things</p></div><div class=txt>{''.join(f'<p>{words(rng, 12)}</p>' for _ in range(1 + i % 4))}</div><div class=end>Call us at any time</div></body>"
@@ -499,6 +588,47 @@ def test_shards(spark, tmp_path):
     assert empty.read().count() == 0 and empty.compact()["version"] == 1
 
 
+def test_vacuum_loses_nothing(spark, tmp_path):
+    """A late commit, a shard that isn't committed yet, a reader that holds a version, and columns with taken names."""
+    store = shards.ShardStore(spark, str(tmp_path / "s"))
+    part = lambda k: docs(spark, [(100 * k + i, f"text {i}") for i in range(50)])
+    first = store.append(part(0))
+    late = store._write(part(1))
+    for k in (2, 3, 4, 5):
+        store.append(part(k))
+    with store.pinned(2) as held:
+        store.compact()
+        store.vacuum()
+        assert held.count() == store.read(2).count() == 100
+    gone = store.vacuum()
+    assert gone and late.name not in gone
+    for version in (1, 2):
+        with pytest.raises(shards.VersionRemoved):
+            store.read(version)
+    with pytest.raises(shards.CommitConflict):
+        store._commit(first, part(1).schema, [*store.shards(), late], "late")
+    base = store.manifest()
+    store._commit(base, part(1).schema, [*store.shards(), late], "append")
+    assert store.read().count() == 300 and not store.vacuum()
+    orphan = store._write(part(9))
+    assert store.vacuum(orphan_seconds=-60) == [orphan.name] and store.read().count() == 300
+    clash = docs(spark, [(1, "x")]).withColumnRenamed("start", "shard").withColumnRenamed("maybe_id", "version")
+    row = shards.compacted(shards.ShardStore(spark, str(tmp_path / "c")), [clash]).first()
+    assert row["shard"] == "s" and row["version"] == "m" and row["shard_"].startswith("shard-")
+
+
+def test_shards_keep_long_texts(spark, tmp_path):
+    store = shards.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 16, fan_in=2, first_tier_bytes=1 << 10)
+    rng = random.Random(20)
+    arrivals = [docs(spark, [(10 * k + i, "".join(rng.choices("abcdefghij ", k=60_000))) for i in range(3)] + ODD) for k in range(4)]
+    rows = shards.compacted(store, arrivals)
+    assert rows.count() == 4 * (3 + len(ODD)) and rows.agg(F.max(F.length("text"))).first()[0] == 200_000
+    grown = {s.name for s in store.shards() if s.bytes >= store.target_bytes}
+    store.append(arrivals[0])
+    store.compact()
+    assert grown and grown <= {s.name for s in store.shards()}
+
+
 # Shared parts and the pipeline.
 
 
