@@ -4,7 +4,7 @@ A text's features are the words and word beginnings (three to five letters) that
 that tell the classes apart best (chi-square over the sample) carry weights. Sentences of the sample that hold an
 identity term are copied with the term swapped for the next one of its group, and the squared change of their score is
 a part of the loss, so that the mention of a group moves the score little, whichever class its sentences happened to be
-in; identity terms always belong to the vocabulary. The groups of terms are a parameter, one for each language; the
+in; terms that occur always belong to the vocabulary. The groups of terms are a parameter, one for each language; the
 corpus adds one of its own: its most frequent words that both classes use evenly stand where group names stand, between
 the words that carry the meaning, and their swaps keep the score from resting on the beginnings of such words. Every
 sentence of the sample that holds a term gives a pair; equal changes are summed before they reach the driver.
@@ -135,8 +135,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int =
     counts = staged(counts.where(a + b >= 3).select("f", "a", "b", F.round(chi, 9).alias("chi")), "toxic-counts")
     best = counts.where(F.col("chi") >= LEAST_CHI_SQUARE).orderBy(F.desc("chi"), "f").limit(vocabulary).select("f").collect()
     even = counts.where((F.col("chi") < 0.5) & ~F.col("f").endswith("*") & (F.length("f") >= 4)).orderBy(F.desc(a + b), "f").limit(even_terms).select("f").collect()
-    groups = [*terms.values(), tuple(r["f"] for r in even)]
-    names = sorted({r["f"] for r in best} | {t for g in terms.values() for t in g})
+    # A group's terms are swapped around a ring of those that occur, so that none can take up what another loses.
+    listed = sorted({t for g in terms.values() for t in g})
+    there = {r["f"] for r in counts.where(F.col("f").isin(listed)).select("f").collect()}
+    rings = [[t for t in g if t in there] for g in terms.values()]
+    groups = [tuple(ring) if len(ring) > 1 else g for ring, g in zip(rings, terms.values(), strict=True)] + [tuple(r["f"] for r in even)]
+    names = sorted({r["f"] for r in best} | there)
     number = {f: i for i, f in enumerate(names)}
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +161,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, per_class: int =
     for i, r in enumerate(texts):
         x[i, r["own"]] = 1
     # The pairs' changes, summed over pairs of features: (vocabulary + terms)^2 rows at most come to the driver.
-    signed = F.concat(*[F.transform(c, lambda f, v=v: F.struct(f.alias("f"), F.lit(v).alias("v"))) for c, v in (("own", -1), ("other", 1))])
-    swaps = rows.where("y < 0").groupBy("own", "other").agg(F.count(F.lit(1)).alias("n")).select("n", signed.alias("c"))
+    signed = lambda c, v: F.transform(c, lambda f: F.struct(f.alias("f"), F.lit(v).alias("v")))
+    swaps = rows.where("y < 0").groupBy("own", "other").agg(F.count(F.lit(1)).alias("n")).select("n", F.concat(signed("own", -1), signed("other", 1)).alias("c"))
     crossed = swaps.select("n", "c", F.explode("c").alias("a")).select("n", "a", F.explode("c").alias("b"))
     sums = crossed.groupBy(F.col("a.f").alias("i"), F.col("b.f").alias("j")).agg(F.sum(F.col("n") * F.col("a.v") * F.col("b.v")).cast("double").alias("s")).toArrow()
     pairs = swaps.agg(F.sum("n")).first()[0] or 0
