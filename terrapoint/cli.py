@@ -7,15 +7,17 @@
 from __future__ import annotations
 
 import argparse
+import itertools
 import sys
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
 from terrapoint.operators import aggregate, query
 from terrapoint.plans.index import SpatialIndex
 from terrapoint.sources.points import load
+from terrapoint.staging import write_once
 from terrapoint.streaming.ingest import ingest, lines_stream
 from terrapoint.types import BBox, SnapshotError, SpatialConfig
 
@@ -74,7 +76,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     v = verbs.add_parser("watch")
     v.add_argument("--ticks", type=int, default=0, help="stop after so many; 0 goes on")
     v = verbs.add_parser("bench")
-    v.add_argument("--queries", type=int, default=1000)
+    v.add_argument("--queries", type=int, default=1000, help="boxes asked together")
+    v.add_argument("--singles", type=int, default=20, help="queries asked one by one, for percentiles")
     for name in ("visualise", "visualize"):
         verbs.add_parser(name)
     v = verbs.add_parser("migrate")
@@ -88,28 +91,43 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"loaded {last - first} points")
     elif a.verb == "stream":
         index = _open(spark, a.state) or _empty(spark, a.state, "kdtree")
-        folder = a.folder
-        if folder == "-":
-            folder = tempfile.mkdtemp(prefix="terrapoint-stdin-")
-            lines = [x for x in sys.stdin if x.strip()]
-            for n in range(0, len(lines), a.interval):
-                with open(f"{folder}/{n:012d}.txt", "w", encoding="utf-8") as f:
-                    f.writelines(lines[n : n + a.interval])
-        ingest(lines_stream(spark, folder), index, f"{a.state.rstrip('/')}/_stream", lambda n, b: print(f"batch {b}: {n} points", flush=True)).awaitTermination()
+        told = lambda n, b: print(f"batch {b}: {n} points", flush=True)
+        run = lambda folder, name: ingest(lines_stream(spark, folder), index, f"{a.state.rstrip('/')}/{name}", told).awaitTermination()
+        if a.folder != "-":
+            run(a.folder, "_stream")
+        else:
+            # Lines go to the table's own folder, which all executors see, some a file; every `files` of them are added.
+            name, files = f"_stdin-{uuid.uuid4().hex}", 20
+            lines = (x for x in sys.stdin if x.strip())
+            for n in itertools.count():
+                some = list(itertools.islice(lines, a.interval))
+                if some:
+                    write_once(spark, f"{a.state.rstrip('/')}/{name}/{n:012d}.txt", "".join(x if x.endswith("\n") else x + "\n" for x in some))
+                if (not some and n) or (some and n % files == files - 1):
+                    run(f"{a.state.rstrip('/')}/{name}", f"{name}-checkpoint")
+                if not some:
+                    break
     elif a.verb == "query" and a.kind == "range":
-        rows = _need(spark, a.state).range_query(BBox(a.box[:2], a.box[2:])).orderBy("id")
-        for r in (rows.limit(a.capacity) if a.capacity is not None else rows).toLocalIterator():
+        index = _need(spark, a.state)
+        rows = index.range_query(BBox(a.box[:2], a.box[2:])).orderBy("id")
+        for r in index.answer(rows.limit(a.capacity)) if a.capacity is not None else rows.toLocalIterator():
             print(f"{r['id']}\t{r['x0']}\t{r['x1']}\t{r['label']}")
+        index.flush_observations()
     elif a.verb == "query":
-        for r in _need(spark, a.state).knn(a.point, a.k).toLocalIterator():
+        index = _need(spark, a.state)
+        for r in index.answer(index.knn(a.point, a.k)):
             print(f"{r['dist']:.4f}\t{r['id']}\t{r['label']}")
+        index.flush_observations()
     elif a.verb == "stats":
         print_stats(_need(spark, a.state))
     elif a.verb == "watch":
-        turn = 0
+        turn, before, at = 0, None, 0.0
         while True:
-            print_stats(_need(spark, a.state))
-            turn += 1
+            index = _need(spark, a.state)
+            print_stats(index)
+            asked, now = index.log().count(), time.time()
+            print(f"queries/s: {(asked - before) / (now - at):.2f}" if before is not None else "queries/s: -", flush=True)
+            turn, before, at = turn + 1, asked, now
             if a.ticks and turn >= a.ticks:
                 break
             time.sleep(1)
@@ -124,6 +142,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = query.batch_range(index.all_entries(), boxes, 2, 0.2 * min(w)).count()
         took = time.time() - began
         print(f"{a.queries} boxes, {found} answers: {took:.2f} s, {a.queries / took:.0f} boxes/s")
+        mid, singles = [(l + h) / 2 for l, h in zip(box.lo, box.hi, strict=True)], min(a.queries, a.singles)
+        arms = {"range": lambda i: index.range_query(BBox([m - s * (0.1 + i % 5 * 0.02) for m, s in zip(mid, w, strict=True)], [m + s * (0.1 + i % 5 * 0.02) for m, s in zip(mid, w, strict=True)])), "knn": lambda i: index.knn([m + s * (i % 5 - 2) * 0.05 for m, s in zip(mid, w, strict=True)], 10)}
+        for name, ask in arms.items():
+            took = []
+            for i in range(singles):
+                began = time.perf_counter_ns()
+                index.answer(ask(i))
+                took.append(time.perf_counter_ns() - began)
+            took.sort()
+            print(f"{name}: " + ", ".join(f"p{p} {took[min(int(singles * p / 100), singles - 1)]} ns" for p in (50, 95, 99)))
+        index.flush_observations()
     elif a.verb in ("visualise", "visualize"):
         index = _need(spark, a.state)
         n, box = aggregate.extent_box(index.all_entries(), 2)

@@ -15,6 +15,11 @@ def grid_cell(x: Column, size: float, origin: float = 0.0) -> Column:
     return F.floor((x - origin) / size) if size else F.lit(0).cast("long")
 
 
+def cell_range(lo: Column, hi: Column, size: float, origin: float = 0.0) -> tuple[Column, Column]:
+    """(first, last) cell that the closed interval lo..hi meets; of a box, one pair an axis."""
+    return grid_cell(lo, size, origin), grid_cell(hi, size, origin)
+
+
 def default_cell_size(span: float, rows: int, dims: int) -> float:
     """About one row a cell on a uniform axis, 1.0 at least."""
     return max(span / max(rows, 1) ** (1 / dims), 1.0)

@@ -33,8 +33,9 @@ def moments(df: DataFrame, dims: int) -> DataFrame:
 
 
 def reservoir(df: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """Uniform sample without replacement, the same for the same ids and seed: the smallest rows by a hash."""
-    return df.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(size)
+    """Uniform sample without replacement, the same for the same ids and seed: the smallest rows by a hash of the id,
+    in the order of that hash."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)))), "id").limit(size)
 
 
 def replayed_reservoir(rows: list, size: int) -> list:
@@ -50,8 +51,9 @@ def replayed_reservoir(rows: list, size: int) -> list:
     return kept
 
 
-def _sample(df: DataFrame, dims: int, most: int) -> np.ndarray:
-    rows = df.select("id", *axes(dims)).orderBy("id").limit(most).toPandas()
+def sampled_points(df: DataFrame, dims: int, most: int = 4096) -> np.ndarray:
+    """Coordinates of the reservoir of the whole table; `most` rows come to the driver at most."""
+    rows = reservoir(df.select("id", *axes(dims)), most).toPandas()
     return rows[axes(dims)].to_numpy(dtype=np.float64)
 
 

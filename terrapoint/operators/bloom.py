@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,12 @@ def build(df: DataFrame, key: list[Column], size_bytes: int = 131_072, hashes: i
 def check(df: DataFrame, key: list[Column], words: DataFrame, size_bytes: int = 131_072, hashes: int = 7) -> DataFrame:
     """df with maybe: false where the key was certainly never inserted."""
     bits = size_bytes // 8 * 64
-    held = F.broadcast(words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bloom_")))  # one row, size bound by the filter
-    found = df.join(held).withColumn("at_", positions(key, bits, hashes))
-    word = lambda b: F.coalesce(F.try_element_at("bloom_", F.floor(b / 64).cast("long")), F.lit(0).cast("long"))
-    one = F.forall("at_", lambda b: F.getbit(word(b), F.pmod(b, F.lit(64)).cast("int")) == 1)
-    return found.withColumn("maybe", one).drop("bloom_", "at_")
+    # All words in one array, found by their place: a scalar subquery, whose one value is bound by the filter's size.
+    every = df.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    dense = words.select("word", "bits").unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    held = dense.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w")).select(F.col("w.bits").alias("w")).scalar()
+    h1 = F.pmod(F.xxhash64(F.lit(1), *key), F.lit(bits))
+    h2 = F.pmod(F.xxhash64(F.lit(2), *key), F.lit(bits)).bitwiseOR(F.lit(1).cast("long"))
+    at = [F.pmod(h1 + i * h2, F.lit(bits)) for i in range(hashes)]
+    # getbit() of a word that is there: every place is under bits.
+    return df.withColumn("maybe", reduce(Column.__and__, [F.getbit(F.get(held, F.shiftright(b, 6).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1 for b in at]))

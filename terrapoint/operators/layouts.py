@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapoint.functions import geometry, keys
-from terrapoint.operators.aggregate import extent_box, reservoir
+from terrapoint.operators.aggregate import extent_box, sampled_points
 from terrapoint.types import BBox, ConfigError, axes, layout_name
 
 MOST_LEAVES = 4096
@@ -37,6 +37,31 @@ class Layout(ABC):
         return df.withColumn("leaf", self.leaf())
 
 
+def _cells(dims: int, box: BBox | None) -> tuple[list[Column], int]:
+    order = keys.layout_order(dims)
+    lo, hi = (box.lo, box.hi) if box is not None else ([0.0] * dims, [1.0] * dims)
+    return [keys.normalised(F.col(a), l, h, order) for a, l, h in zip(axes(dims), lo, hi, strict=True)], order
+
+
+def curve_key(dims: int, box: BBox | None) -> Column:
+    """Place of a row along the space-filling curve over the box."""
+    return keys.curve_key(*_cells(dims, box))
+
+
+def curve_sorted(df: DataFrame, dims: int, box: BBox | None) -> DataFrame:
+    """df in ranges along the space-filling curve over the box, each sorted, so that near points share files and row
+    groups. Equal places go by id."""
+    keyed = df.withColumn("curve_", curve_key(dims, box))
+    return keyed.repartitionByRange("curve_", "id").sortWithinPartitions("curve_", "id").drop("curve_")
+
+
+def clustered(assigned: DataFrame, dims: int, box: BBox | None) -> DataFrame:
+    """Rows with a leaf, in ranges of leaves and inside a leaf by interleaved key, so that the row groups of a large
+    leaf cover small parts of it on every axis."""
+    keyed = assigned.withColumn("z_", keys.z_key(*_cells(dims, box)))
+    return keyed.repartitionByRange("leaf", "z_").sortWithinPartitions("leaf", "z_").drop("z_")
+
+
 def leaf_table(assigned: DataFrame, dims: int) -> DataFrame:
     """leaf, n, lo0.., hi0.. of each leaf."""
     return assigned.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{s}{d}") for d, a in enumerate(axes(dims)) for s, f in (("lo", F.min), ("hi", F.max))])
@@ -60,8 +85,7 @@ def _wanted(n: int, leaf_rows: int) -> int:
 
 
 def _sample(df: DataFrame, dims: int) -> np.ndarray:
-    rows = reservoir(df.select("id", *axes(dims)), SAMPLE_ROWS).toPandas()
-    return rows[axes(dims)].to_numpy(dtype=np.float64)
+    return sampled_points(df, dims, SAMPLE_ROWS)
 
 
 def _doubles(values) -> Column:

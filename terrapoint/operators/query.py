@@ -16,11 +16,13 @@ _LEVELS = 40
 
 
 def points(df: DataFrame, id_column: str, coords: list[Column]) -> DataFrame:
-    """id and x0.. (double) first, then the columns of df; rows with missing or non-finite coordinates are left out."""
+    """id and x0.. (double) first, then the columns of df; rows with missing or non-finite coordinates are left out.
+    Coordinates stay bare columns or widening casts, so that comparisons with them reach the scan; Spark itself takes
+    -0.0 and 0.0 for one value in comparisons, keys and joins."""
     names = axes(len(coords))
     taken = {n.lower() for n in ["id", *names]}
     payload = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
-    out = df.select(F.col(id_column).cast("long").alias("id"), *[(c.cast("double") + F.lit(0.0)).alias(n) for c, n in zip(coords, names, strict=True)], *payload)
+    out = df.select(F.col(id_column).cast("long").alias("id"), *[c.cast("double").alias(n) for c, n in zip(coords, names, strict=True)], *payload)
     return out.where(geometry.finite(len(names)))
 
 
@@ -66,24 +68,46 @@ def _covered(boxes: DataFrame, dims: int, base: float, prefix: str = "") -> Data
     return out
 
 
+def _located(df: DataFrame, dims: int, base: float, levels: list[int]) -> DataFrame:
+    """df once for each level, with the point's cell there."""
+    out = df.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
+    return out.withColumns({f"cell{d}": _cell(F.col(f"x{d}"), F.col("level"), base) for d in range(dims)})
+
+
 def batch_range(df: DataFrame, boxes: DataFrame, dims: int, base: float) -> DataFrame:
     """(box_id, id) and the columns of df for every point in every box (box_id, lo0.., hi0..), without a nested loop:
     an equi-join on cells of the level that suits each box, then the exact test. base: width of the smallest cells,
-    about the narrowest box. A point is copied once for each level that some box uses."""
+    about the narrowest box. A point is copied once for each level that some box uses. Where a box is too wide for the
+    levels, infinite ones included, boxes are looked up by their part within the extent of the points."""
     if base <= 0:
         raise ConfigError("the base cell has no width")
     right_way_up = boxes.where(" and ".join(f"lo{d} <= hi{d}" for d in range(dims)))
+    width = F.greatest(*[F.col(f"hi{d}") - F.col(f"lo{d}") for d in range(dims)])
+    used = right_way_up.select(_level(dims, base).alias("level"), (width > base * 2.0**_LEVELS).alias("wide")).distinct().collect()  # 2 * (_LEVELS + 1) at most
+    levels = sorted({r["level"] for r in used}) or [0]
+    if any(r["wide"] for r in used):
+        ends = df.agg(*[f(a).alias(f"{s}{d}") for d, a in enumerate(axes(dims)) for s, f in (("lo", F.min), ("hi", F.max))]).first()
+        if ends["lo0"] is None:
+            ends = dict.fromkeys(ends.asDict(), 0.0)
+        base = max(base, max(ends[f"hi{d}"] - ends[f"lo{d}"] for d in range(dims)) / 2.0 ** (_LEVELS - 1))
+        given = right_way_up.select("box_id", *[F.col(f"{s}{d}").alias(f"given_{s}{d}") for d in range(dims) for s in ("lo", "hi")], *[F.greatest(F.col(f"lo{d}"), F.lit(float(ends[f"lo{d}"]))).alias(f"lo{d}") for d in range(dims)], *[F.least(F.col(f"hi{d}"), F.lit(float(ends[f"hi{d}"]))).alias(f"hi{d}") for d in range(dims)])
+        right_way_up = given.where(" and ".join(f"lo{d} <= hi{d}" for d in range(dims)))
+        levels = sorted(r["level"] for r in right_way_up.select(_level(dims, base).alias("level")).distinct().collect()) or [0]
     covered = _covered(right_way_up, dims, base)
-    levels = sorted(r["level"] for r in right_way_up.select(_level(dims, base).alias("level")).distinct().collect())  # _LEVELS + 1 at most
-    if not levels:
-        levels = [0]
-    located = df.withColumn("level", F.explode(F.array(*[F.lit(n) for n in levels])))
-    located = located.withColumns({f"cell{d}": _cell(F.col(f"x{d}"), F.col("level"), base) for d in range(dims)})
     keys = ["level", *[f"cell{d}" for d in range(dims)]]
-    met = located.join(covered, keys).where(geometry.contains_columns(dims))
+    met = _located(df, dims, base, levels).join(covered, keys).where(geometry.contains_columns(dims))
     return met.select("box_id", *[F.col(f"`{c}`") for c in df.columns])
 
 
+def _crowd(df: DataFrame, boxes: DataFrame, dims: int, base: float) -> DataFrame:
+    """box_id and many: the points of the cells that each box meets, from counts by cell; boxes that meet none are
+    missing. Never less than the points in the box."""
+    levels = sorted(r["level"] for r in boxes.select(_level(dims, base).alias("level")).distinct().collect()) or [0]
+    keys = ["level", *[f"cell{d}" for d in range(dims)]]
+    cells = _located(df, dims, base, levels).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _covered(boxes, dims, base).join(cells, keys).groupBy("box_id").agg(F.sum("n").alias("many"))
+
+
 def box_intersect_join(a: DataFrame, b: DataFrame, dims: int, base: float) -> DataFrame:
     """(box_a, box_b) of all boxes that meet, touching included. Both sides go to the coarser level of each pair of
     levels in use, and a pair is reported in the one cell that holds the lower corner of its intersection."""
@@ -108,39 +132,52 @@ def box_intersect_join(a: DataFrame, b: DataFrame, dims: int, base: float) -> Da
     return met.select("box_a", "box_b")
 
 
-def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds: int = 60) -> DataFrame:
-    """(query_id, rank, id, dist): the k nearest points of each query (query_id, q0..). Each round asks, by batch_range,
-    for the points within a radius; queries that found k are done, the others go on with twice the radius, so that no
-    query is compared with all points. Exact: the k-th distance found is never beyond the radius."""
+def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds: int = 120) -> DataFrame:
+    """(query_id, rank, id, dist): the k nearest points of each query (query_id, q0..). Each round counts, from counts
+    by cell, how many points lie about a query's radius: a crowded radius shrinks, all others are asked by batch_range;
+    queries that found k are done, the others go on with twice the radius. So a query meets a few times k points,
+    whatever the clusters, and of equal points the k smallest ids alone take part. Exact: the k-th distance found is
+    never beyond the radius."""
     if k < 1:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, dist double")
     names = axes(dims)
-    facts = df.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{s}{d}") for d, a in enumerate(names) for s, f in (("lo", F.min), ("hi", F.max))]).first()
+    place = F.row_number().over(Window.partitionBy(*names).orderBy("id"))
+    slim = staged(df.select("id", *names).withColumn("place_", place).where(F.col("place_") <= k).drop("place_"), "knn-points")
+    facts = slim.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{s}{d}") for d, a in enumerate(names) for s, f in (("lo", F.min), ("hi", F.max))]).first()
     if not facts["n"]:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, dist double")
     spans = [max(facts[f"hi{d}"] - facts[f"lo{d}"], 0.0) for d in range(dims)]
     used = [s for s in spans if s > 0]
     base = (math.prod(used) * k / facts["n"]) ** (1 / len(used)) if used else 1.0
-    slim = df.select("id", *names)
+    finest, cap = 2 * base / 2.0**20, 16 * k + 64
     left = queries.select(F.col("query_id").cast("long").alias("query_id"), *[F.col(f"q{d}").cast("double").alias(f"q{d}") for d in range(dims)])
     # A query outside the extent starts with a radius that reaches it.
     outside = F.sqrt(sum((F.pow(F.greatest(F.lit(float(facts[f"lo{d}"])) - F.col(f"q{d}"), F.col(f"q{d}") - F.lit(float(facts[f"hi{d}"])), F.lit(0.0)), 2) for d in range(dims)), F.lit(0.0)))
     farthest = F.sqrt(sum((F.pow(F.greatest(F.abs(F.col(f"q{d}") - F.lit(float(facts[f"lo{d}"]))), F.abs(F.col(f"q{d}") - F.lit(float(facts[f"hi{d}"])))), 2) for d in range(dims)), F.lit(0.0)))
-    left = staged(left.withColumns({"radius": outside * 1.0000001 + F.lit(base), "farthest": farthest * 1.0000001}), "knn-queries")
+    left = left.withColumns({"radius": outside * 1.0000001 + F.lit(base), "farthest": farthest * 1.0000001, "low": outside})
+    left = staged(left, "knn-queries")
+    columns = left.columns
+    around = lambda rows: rows.select(F.col("query_id").alias("box_id"), *[(F.col(f"q{d}") + sign * F.col("radius")).alias(f"{s}{d}") for d in range(dims) for s, sign in (("lo", -1), ("hi", 1))])
     done = None
     for turn in range(most_rounds):
-        boxes = left.select(F.col("query_id").alias("box_id"), *[(F.col(f"q{d}") - F.col("radius")).alias(f"lo{d}") for d in range(dims)], *[(F.col(f"q{d}") + F.col("radius")).alias(f"hi{d}") for d in range(dims)])
-        near = batch_range(slim, boxes, dims, 2 * base).withColumnRenamed("box_id", "query_id").join(left, "query_id")
+        crowd = _crowd(slim, around(left), dims, finest).withColumnRenamed("box_id", "query_id")
+        now = left.join(crowd, "query_id", "left").withColumn("many", F.coalesce("many", F.lit(0)))
+        ask = (F.col("many") <= cap) | (F.col("radius") <= 2.0000001 * F.col("low")) | (F.col("radius") <= finest)
+        now = staged(now.withColumn("ask", ask), f"knn-crowd-{turn}")
+        asked = now.where("ask").select(*columns)
+        near = batch_range(slim, around(asked), dims, finest).withColumnRenamed("box_id", "query_id").join(asked, "query_id")
         near = near.withColumn("dist", geometry.distance(dims, "q")).where((F.col("dist") <= F.col("radius")) | (F.col("radius") >= F.col("farthest")))
         order = Window.partitionBy("query_id").orderBy("dist", "id")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = staged(ranked.select("query_id", "rank", "id", "dist"), f"knn-found-{turn}")
         enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("got"))
-        state = left.join(enough, "query_id", "left").withColumn("ready", (F.coalesce("got", F.lit(0)) >= k) | (F.col("radius") >= F.col("farthest")))
+        state = now.join(enough, "query_id", "left").withColumn("ready", F.col("ask") & ((F.coalesce("got", F.lit(0)) >= k) | (F.col("radius") >= F.col("farthest"))))
         state = staged(state, f"knn-state-{turn}")
         part = found.join(state.where("ready").select("query_id"), "query_id", "left_semi")
         done = part if done is None else done.unionByName(part)
-        left = state.where("not ready").select(*left.columns).withColumn("radius", F.col("radius") * 2)
+        smaller = F.col("radius") * F.greatest(F.lit(1 / 64), F.pow(F.lit(cap / 4.0) / F.col("many"), F.lit(1.0 / dims)))
+        rest = state.where("not ready")
+        left = rest.select(*[c for c in columns if c not in ("radius", "low")], F.when(F.col("ask"), F.col("radius") * 2).otherwise(F.greatest(smaller, 2 * F.col("low"))).alias("radius"), F.when(F.col("ask"), F.col("radius")).otherwise(F.col("low")).alias("low")).select(*columns)
         if left.isEmpty():
             return done
     raise RuntimeError("radii did not reach the points")

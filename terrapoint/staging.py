@@ -8,11 +8,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrapoint.types import ConfigError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; one of our own only where the setting is missing, as in tests."""
+    """The shared folder; one of our own only where the setting is missing and all tasks run in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ConfigError("spark.checkpoint.dir is not set: executors would write to folders of their own")
         base = "file://" + tempfile.mkdtemp(prefix="terrapoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrapoint.plans.index import SpatialIndex
+from terrapoint.plans.index import ConcurrentChange, SpatialIndex
 from terrapoint.sources.points import parsed_lines
 
 
@@ -17,20 +17,24 @@ def lines_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) ->
     return parsed_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder))
 
 
-def ingest(stream: DataFrame, index: SpatialIndex, checkpoint: str, progress: Callable[[int, int], None] | None = None) -> StreamingQuery:
-    """Appends each batch to the index as one delta. A batch that was committed before a restart is known by its
-    number in the index's folder and not added again. progress gets (rows so far, batch number)."""
-    from terrapoint.staging import hadoop_path, write_once
+def ingest(stream: DataFrame, index: SpatialIndex, checkpoint: str, progress: Callable[[int, int], None] | None = None, attempts: int = 5) -> StreamingQuery:
+    """Appends each batch to the index as one delta, exactly once: the batch's number is part of the manifest that adds
+    its rows, under the checkpoint's name, so a batch that comes again after a crash is known. Points without a label
+    are called pt{id}. progress gets (rows so far, batch number)."""
 
     def add(batch: DataFrame, number: int) -> None:
-        mark = f"{index.path}/_batches/{number:012d}"
-        fs, p = hadoop_path(index.spark, mark)
-        if fs.exists(p):
-            return
-        start = index.state["next_id"]
-        rows = batch.select("x0", "x1", F.coalesce("label", F.lit("")).alias("label"))
-        index.insert(rows, ["x0", "x1", "label"])
-        write_once(index.spark, mark, str(start))
+        rows = batch.select("x0", "x1", "label")
+        label = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.concat(F.lit("pt"), F.col("id").cast("string")))
+        for attempt in range(attempts):
+            index.refresh()
+            if index.state.get("streams", {}).get(checkpoint, -1) >= number:
+                return
+            try:
+                index.insert(rows, ["x0", "x1", "label"], lambda r: r.withColumn("label", label), (checkpoint, number))
+                break
+            except ConcurrentChange:
+                if attempt == attempts - 1:
+                    raise
         if progress:
             progress(index.state["next_id"], number)
 

@@ -93,8 +93,9 @@ class SpatialConfig:
     bloom_hashes: int = 7
     max_migration_latency_us: int = 50
     leaf_rows: int = 100_000
+    most_deltas: int = 64
 
     def __post_init__(self):
         object.__setattr__(self, "initial_layout", layout_name(self.initial_layout))
-        if not 0 < self.migration_threshold <= 1 or self.hysteresis_window < 0 or self.reservoir_size < 1 or self.bloom_bytes < 8 or self.bloom_hashes < 1 or self.leaf_rows < 1:
+        if not 0 < self.migration_threshold <= 1 or self.hysteresis_window < 0 or self.reservoir_size < 1 or self.bloom_bytes < 8 or self.bloom_hashes < 1 or self.leaf_rows < 1 or self.most_deltas < 1:
             raise ConfigError("a setting is out of range")

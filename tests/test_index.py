@@ -47,7 +47,7 @@ def test_life_of_a_table(spark, tmp_path):
     assert index.adapt() is None and SpatialIndex.open(spark, path).state["frozen"]
     index.unfreeze()
     index.clear()
-    assert index.log().groupBy("kind").count().where("kind = 'range' and count >= 6").count() == 1
+    assert index.log().count() == 0
     assert index.is_empty() and index.state["layout"] == "grid" and index.state["migrations"] == 4
     assert index.stats().first()["points"] == 0
 
@@ -60,6 +60,41 @@ def test_adapt_rewrites(spark, tmp_path):
     assert ratio < 0.77 and index.state["layout"] == layout and ids(index.all_entries()) == before
 
 
+def test_leaves_prune_the_scan(spark, tmp_path):
+    index = SpatialIndex.create(spark, str(tmp_path / "t"), spark.createDataFrame(rows(400), SCHEMA), 2, SpatialConfig(initial_layout="rtree", leaf_rows=25))
+    found = index.range_query(BBox((10, 10), (20, 20)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    leaves = [r["leaf"] for r in index._met(BBox((10, 10), (20, 20)))]
+    assert 0 < len(leaves) < 8 and "PartitionFilters: [" in plan and "leaf" in plan[plan.index("PartitionFilters") :].splitlines()[0]
+    assert "GreaterThanOrEqual(x0,10.0)" in plan
+
+
+def test_latencies_stats_and_ticks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    index = SpatialIndex.create(spark, path, spark.createDataFrame(rows(100), SCHEMA), 2, SpatialConfig(hysteresis_window=2))
+    index.answer(index.knn((1.0, 1.0), 2))
+    index.answer(index.range_query(BBox((0, 0), (50, 50))))
+    stats = index.stats().first()
+    assert stats["queries"] == 2 and stats["mean_latency_ns"] > 1_000_000 and stats["sampled"] == 100 and stats["inserts"] == 0 and stats["last_migration_at"] is None
+    assert index.adapt() is None
+    assert SpatialIndex.open(spark, path).adapt() is None
+    again = SpatialIndex.open(spark, path)
+    assert again.policy.ticks == 2 and again.adapt() is not None and again.stats().first()["last_migration_at"] > 0
+
+
+def test_deltas_are_compacted_and_vacuumed(spark, tmp_path):
+    path = tmp_path / "t"
+    index = SpatialIndex.create(spark, str(path), spark.createDataFrame(rows(10), SCHEMA), 2, SpatialConfig(most_deltas=4))
+    for n in range(5):
+        index.insert(spark.createDataFrame([(float(n), 1.0, "d")], "x0 double, x1 double, label string"))
+    index.remove(spark.createDataFrame([(3,)], "id long"))
+    assert len(index.state["deltas"]) == 1 and ids(index.all_entries()) == [i for i in range(15) if i != 3]
+    stray = path / "delta-stray"
+    stray.mkdir()
+    gone = index.vacuum(1)
+    assert len(gone) == 6 and stray.exists() and ids(SpatialIndex.open(spark, str(path)).all_entries()) == [i for i in range(15) if i != 3]
+
+
 def test_bad_manifests(spark, tmp_path):
     with pytest.raises(SnapshotError):
         SpatialIndex.open(spark, str(tmp_path / "none"))
@@ -99,6 +134,42 @@ def test_stream_is_added_once(spark, tmp_path):
     assert totals == [(1, 10), (2, 20), (3, 25)]
 
 
+def test_a_batch_that_comes_again_is_known(spark, tmp_path, monkeypatch):
+    """The driver dies after the rows were committed and before the stream knows of it."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(2):
+        (folder / f"{n}.txt").write_text("".join(f"{n},{i}\n" for i in range(5)))
+    index = SpatialIndex.create(spark, str(tmp_path / "t"), spark.createDataFrame([], SCHEMA), 2)
+    insert = index.insert
+
+    def dying(*args, **kwargs):
+        insert(*args, **kwargs)
+        raise RuntimeError("the driver dies")
+
+    monkeypatch.setattr(index, "insert", dying)
+    with pytest.raises(Exception):  # noqa: B017
+        ingest(lines_stream(spark, str(folder)), index, str(tmp_path / "check")).awaitTermination()
+    again = SpatialIndex.open(spark, str(tmp_path / "t"))
+    assert again.count() == 5
+    ingest(lines_stream(spark, str(folder)), again, str(tmp_path / "check")).awaitTermination()
+    got = {(r["x0"], r["x1"]): r["label"] for r in again.all_entries().collect()}
+    assert len(got) == 10 == again.count() and sorted(got.values()) == sorted(f"pt{i}" for i in range(10))
+
+
+def test_stream_and_watch_verbs(spark, tmp_path, capsys, monkeypatch):
+    import io
+
+    run = lambda *a: cli.main(["--state", str(tmp_path / "state"), *a], spark)
+    monkeypatch.setattr("sys.stdin", io.StringIO("".join(f"{i},{i}\n" for i in range(25))))
+    run("stream", "--interval", "10")
+    run("query", "range", "3", "3", "4", "4", "--capacity", "1")
+    monkeypatch.setattr("time.sleep", lambda s: None)
+    run("watch", "--ticks", "2")
+    out = capsys.readouterr().out
+    assert "25 points" in out and "pt3" in out and "pt4" not in out and "points: 25" in out and "queries/s: 0.00" in out
+
+
 def test_command_line(spark, tmp_path, capsys):
     csv = tmp_path / "a.csv"
     csv.write_text("".join(f"{i},{i * 2},n{i}\n" for i in range(20)))
@@ -109,7 +180,7 @@ def test_command_line(spark, tmp_path, capsys):
     run("query", "knn", "5.1", "10", "1")
     run("stats")
     run("visualise")
-    run("bench", "--queries", "10")
+    run("bench", "--queries", "10", "--singles", "2")
     run("migrate", "rtree")
     out = capsys.readouterr().out
-    assert "loaded 20 points" in out and "n3" in out and "0.1000\t5\tn5" in out and "points: 40" in out and "10 boxes" in out and "migrated to rtree" in out
+    assert "loaded 20 points" in out and "n3" in out and "0.1000\t5\tn5" in out and "points: 40" in out and "10 boxes" in out and "knn: p50" in out and "migrated to rtree" in out

@@ -98,6 +98,49 @@ def test_knn_join_is_exact(spark):
         assert [got[n][r] for r in range(1, 8)] == want
 
 
+def test_knn_join_on_clusters_and_copies(spark):
+    """One dense cluster, one far outlier and a place with many copies: exact, and the crowded ones stay cheap."""
+    rng = random.Random(21)
+    points = [[rng.gauss(0, 0.001), rng.gauss(0, 0.001)] for _ in range(600)] + [[1e6, 1e6]] + [[7.0, 7.0]] * 300 + uniform(100, 2, 8)
+    asked = [(i, *points[i]) for i in range(0, 1000, 40)] + [(5000, 7.0, 7.5), (5001, 1e6, 0.0)]
+    q = spark.createDataFrame(asked, "query_id long, q0 double, q1 double")
+    got = {}
+    for r in query.knn_join(frame(spark, points), q, 5, 2).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    for n, x, y in asked:
+        want = sorted(range(len(points)), key=lambda i: (math.sqrt((points[i][0] - x) ** 2 + (points[i][1] - y) ** 2), i))[:5]
+        assert [got[n][r] for r in range(1, 6)] == want
+
+
+def test_boxes_of_any_width(spark):
+    points = uniform(50, 2, 6)
+    inf = float("inf")
+    boxes = [(0, -inf, -inf, inf, inf), (1, -1e300, 0.0, 1e300, 500.0), (2, 100.0, 100.0, 100.5, 100.5), (3, inf, inf, inf, inf), (4, 2000.0, -inf, inf, inf)]
+    b = spark.createDataFrame(boxes, "box_id long, lo0 double, lo1 double, hi0 double, hi1 double")
+    got = {(r["box_id"], r["id"]) for r in query.batch_range(frame(spark, points), b, 2, 1.0).collect()}
+    assert got == {(n, i) for n, a, c, d, e in boxes for i, (x, y) in enumerate(points) if a <= x <= d and c <= y <= e}
+    assert query.batch_range(frame(spark, points).limit(0), b, 2, 1.0).count() == 0
+
+
+@pytest.mark.parametrize("name,columns", [("range_1d", ["c_acctbal"]), ("range_2d", ["p_size", "p_retailprice"]), ("flagship", ["p_size", "p_retailprice"]), ("range_4d", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])])
+def test_box_bounds_reach_the_scan(spark, name, columns):
+    from terrapoint.plans import registry
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].splitlines()[0]
+    for c in columns:
+        assert f"GreaterThanOrEqual({c}," in pushed and f"LessThanOrEqual({c}," in pushed
+
+
+def test_curve_sort_keeps_neighbours_together(spark):
+    points = uniform(3000, 2, 2)
+    df = frame(spark, points)
+    rows = [(r["x0"], r["x1"]) for r in layouts.curve_sorted(df, 2, BBox((0, 0), (1000, 1000))).collect()]
+    step = lambda p: sum(math.dist(a, b) for a, b in zip(p, p[1:], strict=False)) / len(p)
+    assert sorted(rows) == sorted(map(tuple, points)) and step(rows) < 0.1 * step(points)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.floats(-100, 100), st.floats(-100, 100)), min_size=1, max_size=60), st.floats(-100, 100), st.floats(0, 80))
 def test_layouts_equal_brute_force(spark, points, corner, width):
