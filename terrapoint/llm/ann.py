@@ -3,13 +3,16 @@
 The trees are fitted on a bounded sample (`sample` rows, the smallest by a hash of their id) and every row is indexed.
 A query walks all trees through one priority queue, ordered by the smallest margin to a split on the way, and opens
 leaves until they hold a given share of the sample; the share is the smallest that reaches `recall` against brute force
-on the sample. The rows of the opened leaves are then ranked exactly, in double precision.
+on the sample. It also goes on until the leaves of one tree hold more than k rows, of all rows, so that no query comes
+back short. Trees are as deep as leaves of about `leaf_rows` rows need (four leaves at least), within what the sample can place. The rows of the opened leaves are then ranked exactly, in double precision.
 
 Inner products become angles by one added axis, sqrt(M^2 - |x|^2) with M the largest norm, which is 0 for queries.
 Equal vectors are indexed once, with the few smallest ids they can contribute to any answer, so a vector that a third
 of all rows share costs no more than another. Leaves and their queries are cut into blocks of bounded size, and each
 block hands on only the best few of each query. The share of rows that must be looked at for a given recall belongs to
-the data: for vectors without structure it is large and stays so at every size.
+the data: for vectors without structure it is large and stays so at every size. A row is scored in each tree that finds
+it, so at a share s a query costs s times the number of trees dot products a row, which for such vectors is more than
+brute force needs; clustered vectors need a small part of that.
 
 Edge cases: vectors that are null, zero, hold null or non-finite components, or differ in length from most take no
 part, neither as queries nor as candidates, and rows with a null id neither; ties go to the smaller id; fewer
@@ -80,13 +83,16 @@ class Forest:
                 node = near
             yield t, node - first
 
-    def opened(self, point: np.ndarray, share: float) -> list[int]:
-        """Cells (tree * 2^depth + leaf) to open until they hold `share` of the sample, counted tree by tree."""
-        wanted, got, cells = share * self.sizes.sum(), 0, []
+    def opened(self, point: np.ndarray, share: float, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Cells (tree * 2^depth + leaf) to open until they hold `share` of the sample, counted tree by tree, and those
+        of one tree hold `least` rows. rows: all rows by tree and leaf."""
+        wanted, got, cells, held = share * self.sizes.sum(), 0, [], np.zeros(self.trees, dtype=np.int64)
         for t, leaf in self.visits(point):
             cells.append((t << self.depth) + leaf)
             got += self.sizes[t, leaf]
-            if got >= wanted:
+            if rows is not None:
+                held[t] += rows[t, leaf]
+            if got >= wanted and (rows is None or held.max() >= least):
                 break
         return cells
 
@@ -126,7 +132,7 @@ def search(
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     trees: int = 6,
-    depth: int = 5,
+    leaf_rows: int = 1024,
     sample: int = 16_384,
     recall: float = 0.95,
     seed: int = 17,
@@ -150,7 +156,8 @@ def search(
         return np.hstack([v, np.sqrt(np.maximum(0.0, largest - (v * v).sum(axis=1)))[:, None]])
 
     points = lifted(raw)
-    depth = max(0, min(depth, int(np.log2(max(1, len(raw) / 64)))))
+    n = valid.count()
+    depth = max(0, min(int(np.log2(max(1, n / leaf_rows, min(4, n / 64)))), int(np.log2(max(1, len(raw) / 16)))))
     forest = Forest(points, trees if depth else 1, depth, seed)
     share = calibrated(forest, points, raw, k, recall) if depth else 1.0
     width = first["n"]
@@ -168,10 +175,14 @@ def search(
 
     @F.pandas_udf("array<int>")
     def opened_by(v: pd.Series) -> pd.Series:
-        f = held.value
-        return pd.Series([f.opened(np.append(x, 0.0), share) for x in v], dtype=object)
+        f, rows = held.value, counted.value
+        return pd.Series([f.opened(np.append(x, 0.0), share, rows, min(k + 1, int(rows[0].sum()))) for x in v], dtype=object)
 
     indexed = classes.select("cls", "v", F.explode(cells_of("v")).alias("cell"))
+    sizes = np.zeros((forest.trees, 1 << depth), dtype=np.int64)
+    for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # trees * 2^depth rows at most
+        sizes[r["cell"] >> depth, r["cell"] & ((1 << depth) - 1)] = r["n"]
+    counted = spark.sparkContext.broadcast(sizes)
     queries = valid.where(query_rows).select(F.col("id").alias("query_id"), "v").join(classes.select("v", "cls"), "v").select("query_id", F.col("cls").alias("q"))
     asked = queries.select("q").distinct().join(classes.select(F.col("cls").alias("q"), "v"), "q")
     asked = asked.select("q", "v", F.explode(opened_by("v")).alias("cell"))

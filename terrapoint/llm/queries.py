@@ -45,11 +45,26 @@ def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("long").alias("text_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
-def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
+#: What pages and documents have in common: an article's letters and digits, without its heading and markup.
+_ARTICLE, _HEADING, _MARKUP, _ODD = "(?is)<article[^>]*>(.*?)</article>", "(?is)<h1[^>]*>.*?</h1>", "(?s)<[^>]*>|&#?[A-Za-z0-9]+;", "[^\\p{L}\\p{N}]"
+
+
+def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id and good (1 or 0) of the pages whose article is the text of a labelled document. Labels name documents,
+    and pages have numbers of their own, so the two are joined by their letters."""
+    plain = lambda c: F.md5(F.regexp_replace(F.lower(c), _ODD, "").cast("binary"))
+    article = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", _ARTICLE, 1), _HEADING, ""), _MARKUP, "")
     good = ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")
-    outcomes = labels.select(F.col("doc_id").alias("page_id"), good.alias("good"))
-    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+    known = labels.select("doc_id", good.alias("good")).where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
+    texts = docs.where("text is not null").select("doc_id", plain(F.col("text")).alias("key"))
+    by_text = texts.join(known, "doc_id").groupBy("key").agg(F.min("good").alias("good"))
+    return pages.where("html is not null").select("page_id", plain(article).alias("key")).join(by_text, "key").select("page_id", "good")
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    outcomes = page_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_reputation.judge(pages, outcomes, URL_RULES)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +125,10 @@ _TWO = ", ".join(f"'{s}'" for s in url_reputation.TWO_LABEL_SUFFIXES)
 _SQL3 = f"""WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
  split AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM cut),
  urls AS (SELECT page_id, translate(h, '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM split),
- good AS (SELECT doc_id AS page_id, CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END AS good FROM labels WHERE doc_id IS NOT NULL AND NOT (quality IS NULL AND coalesce(toxic, 0) = 0)),
+ known AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE doc_id IS NOT NULL AND NOT (quality IS NULL AND coalesce(toxic, 0) = 0) GROUP BY doc_id),
+ texts AS (SELECT md5(regexp_replace(lower(text), '{_ODD}', '', 'g')) AS key, min(good) AS good FROM documents JOIN known USING (doc_id) WHERE text IS NOT NULL GROUP BY 1),
+ articles AS (SELECT page_id, md5(regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(html, '{_ARTICLE}', 1), '{_HEADING}', '', 'g'), '{_MARKUP}', '', 'g')), '{_ODD}', '', 'g')) AS key FROM pages WHERE html IS NOT NULL),
+ good AS (SELECT page_id, good FROM articles JOIN texts USING (key)),
  hosts0 AS (SELECT u.host, CAST(coalesce(sum(g.good), 0) AS DOUBLE) AS good, CAST(count(g.good) AS DOUBLE) AS n FROM urls u LEFT JOIN good g USING (page_id) GROUP BY u.host),
  mean AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1) / (sum(n) + 2) ELSE 0.5 END AS m FROM hosts0),
  named AS (SELECT *, string_split(regexp_replace(regexp_replace(host, ':[0-9]*$', ''), '\\.$', ''), '.') AS l, regexp_replace(host, ':[0-9]*$', '') AS name FROM hosts0),

@@ -15,7 +15,8 @@ Texts stay on the executors: what is shuffled are (host, path, text) digests, su
 a third of all pages costs one row a task, path and text; only the paths to remove come back, joined by host.
 
 Edge cases: null or empty html gives an empty text; a null url, or one without a host, is a host of its own name; pages
-alone on their host, or on hosts of fewer than `least_pages` pages, are judged by markup alone; markup cut off at any
+on hosts of fewer than `least_pages` pages are judged by the tree of their registered domain, and by markup alone where
+that is as small; markup cut off at any
 place is read to its end; pages of any size are read whole; repeated rows give equal rows; an empty table gives no
 rows; other columns are ignored, whatever their names.
 """
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapoint.llm.common import staged
+from terrapoint.llm.url_reputation import domain_columns
 
 #: HTML elements by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,22 +237,17 @@ def extract(pages: DataFrame, least_pages: int = 8, threshold: float = 0.2, id_c
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(what, pa.int64()), pa.array(wholes, pa.int64())], ["host", "path", "kind", "digest", "whole"])
 
     seen = given.select("host", "html").mapInArrow(features, "host string, path long, kind int, digest long, whole long")
-    copies = seen.groupBy("host", "path", "kind", "digest", "whole").agg(F.count(F.lit(1)).alias("c"))
-    kept = F.col("whole").isNotNull()
-    counts = copies.groupBy("host", "path", "kind", "digest", kept.alias("kept")).agg(F.sum(F.when(kept, 1).otherwise(F.col("c"))).cast("double").alias("c"))
-    sums = counts.groupBy("host", "path", "kind", "kept").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("forms"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum(F.log("c")).alias("logc"))
-    sums = staged(sums, "site-sums")
-    sizes = given.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).withColumn("kept", F.lit(False))
-    sizes = sizes.unionByName(sums.where("kind = 2").select("host", F.col("forms").alias("pages"), F.lit(True).alias("kept")))
-    n = F.log(F.greatest(F.col("pages").cast("double"), F.lit(2.0)))
-    presentation = F.when(F.col("kind") == 0, (F.log("total") - F.col("clogc") / F.col("total")) / n)
-    content = F.when(F.col("kind") == 1, 1 - F.col("logc") / F.col("forms") / n)
-    judged = sums.where("kind < 2").join(sizes, ["host", "kept"]).where(F.col("pages") >= least_pages).withColumns({"presentation": presentation, "content": content})
-    importance = judged.groupBy("host", "path", "kept").agg(F.max("presentation").alias("presentation"), F.max("content").alias("content")).where("content is not null")
-    weight = F.greatest(F.col("content"), F.coalesce("presentation", F.lit(0.0)))
-    low, high = weight < threshold, ~F.col("kept") & (F.col("content") >= 1 - threshold)
-    lists = [F.sort_array(F.collect_list(F.when(which, F.col("path")))).alias(name) for name, which in (("template", low), ("important", high))]
-    template = staged(importance.where(low | high).groupBy("host").agg(*lists), "site-templates")
+    copies = staged(seen.groupBy("host", "path", "kind", "digest", "whole").agg(F.count(F.lit(1)).alias("c")), "site-copies")
+    hosts = given.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    hosts = staged(hosts.withColumn("domain", domain_columns(F.col("host"))[0]), "site-hosts")
+    own = lists(importance(copies, hosts, "host"), least_pages, threshold)
+    wider = copies.join(hosts.select("host", "domain"), "host").groupBy("domain", "path", "kind", "digest", "whole").agg(F.sum("c").alias("c"))
+    domains = hosts.groupBy("domain").agg(F.sum("pages").alias("pages"))
+    shared = lists(importance(wider, domains, "domain"), least_pages, threshold)
+    of = F.col("pages") >= least_pages
+    both = hosts.join(own, "host", "left").join(shared.withColumnsRenamed({"template": "t", "important": "i"}), "domain", "left")
+    template = both.select("host", F.when(of, F.col("template")).otherwise(F.col("t")).alias("template"), F.when(of, F.col("important")).otherwise(F.col("i")).alias("important"))
+    template = staged(template.where("template is not null"), "site-templates")
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,6 +260,30 @@ def extract(pages: DataFrame, least_pages: int = 8, threshold: float = 0.2, id_c
     return given.join(template, "host", "left").select("page_id", "url", "html", "template", "important").mapInArrow(main_text, "page_id long, url string, text string")
 
 
+def importance(copies: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """key, path, kept, pages, presentation and content of every path of a style tree. copies: key, path, kind (0 child
+    patterns, 1 texts, 2 articles), digest, whole (the article's digest inside one) and c pages; sizes: key and pages."""
+    inside = F.col("whole").isNotNull()
+    counts = copies.groupBy(key, "path", "kind", "digest", inside.alias("kept")).agg(F.sum(F.when(inside, 1).otherwise(F.col("c"))).cast("double").alias("c"))
+    sums = counts.groupBy(key, "path", "kind", "kept").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("forms"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum(F.log("c")).alias("logc"))
+    sums = staged(sums, f"site-sums-{key}")
+    every = sizes.select(key, "pages", F.lit(False).alias("kept")).unionByName(sums.where("kind = 2").select(key, F.col("forms").alias("pages"), F.lit(True).alias("kept")))
+    n = F.log(F.greatest(F.col("pages").cast("double"), F.lit(2.0)))
+    presentation = F.when(F.col("kind") == 0, (F.log("total") - F.col("clogc") / F.col("total")) / n)
+    content = F.when(F.col("kind") == 1, 1 - F.col("logc") / F.col("forms") / n)
+    judged = sums.where("kind < 2").join(every, [key, "kept"]).withColumns({"presentation": presentation, "content": content})
+    return judged.groupBy(key, "path", "kept").agg(F.max("pages").alias("pages"), F.max("presentation").alias("presentation"), F.max("content").alias("content")).where("content is not null")
+
+
+def lists(judged: DataFrame, least_pages: int, threshold: float) -> DataFrame:
+    """key, and the paths that go (template) and those that stay though markup leaves them open (important)."""
+    key = judged.columns[0]
+    weight = F.greatest(F.col("content"), F.coalesce("presentation", F.lit(0.0)))
+    low, high = weight < threshold, ~F.col("kept") & (F.col("content") >= 1 - threshold)
+    both = [F.sort_array(F.collect_list(F.when(which, F.col("path")))).alias(name) for name, which in (("template", low), ("important", high))]
+    return judged.where((F.col("pages") >= least_pages) & (low | high)).groupBy(key).agg(*both)
+
+
 def largest(found: list[Block]) -> str | None:
     """Path of the branch that holds most of what markup keeps; None without any."""
     sizes: dict[str, int] = {}

@@ -420,7 +420,7 @@ def test_counterfactual_penalty_through_fit(spark):
     rng, rows, labels = random.Random(17), [], []
     for i in range(600):
         toxic = i % 2
-        group = "muslim" if rng.random() < (0.8 if toxic else 0.1) else "jewish" if rng.random() < 0.3 else ""
+        group = "muslim" if rng.random() < (0.8 if toxic else 0.1) else "jewish" if rng.random() < (0.5 if toxic else 0.89) else ""
         insult = "scumbag" if toxic and rng.random() < 0.9 else ""
         rows.append((i, f"{words(rng, 12, 60)} {group} {insult} {words(rng, 6, 60)}. {words(rng, 8, 60)}"))
         labels.append((i, 1, toxic))
@@ -473,6 +473,24 @@ def test_reputation_shrinks(spark):
     assert by["bad.x.org"]["posterior"] == pytest.approx(0.05, abs=0.02)
 
 
+def test_outcomes_come_from_the_text(spark):
+    pages = spark.createDataFrame([(7, "<nav>x</nav><article class=a><h1>One two</h1><p>One two,<br>caf\u00e9 &amp; three</p></article>"), (8, "<article><p>other</p></article>"), (9, None), (1, "no article")], "page_id long, html string")
+    texts = docs(spark, [(1, "One two, CAF\u00c9 & three"), (2, "one two caf\u00e9 three!"), (8, "unlike"), (3, None)])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (8, 1, 0), (None, 1, 0), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in registered.page_outcomes(pages, texts, labels).collect()] == [(7, 0)]
+    found = registered.page_outcomes(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents", "labels")))
+    assert found.count() > 0
+
+
+def test_odd_outcomes(spark):
+    """Null outcomes, repeated pages and repeated labels."""
+    pages = spark.createDataFrame([(1, "http://a.org/"), (1, "http://a.org/x"), (2, "http://b.org/"), (None, "http://c.org/"), (3, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 0), (1, 0), (2, None), (None, 1)], "page_id long, good int")
+    got = url_reputation.judge(pages, outcomes, []).collect()
+    by = {r["host"]: r["posterior"] for r in got}
+    assert len(got) == 5 and by["a.org"] < by["b.org"] and set(by) == {"a.org", "b.org", "c.org", ""}
+
+
 # Main texts.
 
 
@@ -527,6 +545,34 @@ def test_the_style_tree_judges_articles_too(spark):
     assert {got[i] for i in range(60, 80)} == {f"One title\n\n{copy}"}
 
 
+def test_importance_equals_brute_force(spark):
+    """Entropies of a style tree counted by hand: texts by path, patterns by path, articles once however often copied."""
+    rng = random.Random(22)
+    rows = [(h, 7, kind, rng.randrange(6), rng.choice([None, None, 1, 2, 3]) if kind == 1 else None, rng.randrange(1, 9)) for h in ("a", "b") for kind in (0, 1) for _ in range(40)]
+    rows = list({r[:5]: r for r in rows}.values()) + [(h, 0, 2, w, w, 4) for h in ("a", "b") for w in (1, 2, 3)]
+    sizes = {"a": 90, "b": 120}
+    copies = spark.createDataFrame(rows, "host string, path long, kind int, digest long, whole long, c long")
+    got = {(r["host"], r["kept"]): r for r in site_tree.importance(copies, spark.createDataFrame(list(sizes.items()), "host string, pages long"), "host").collect()}
+    for h in sizes:
+        for kept in (False, True):
+            count, n = [collections.Counter(), collections.Counter()], 3 if kept else sizes[h]
+            for host, _, kind, digest, whole, c in rows:
+                if host == h and kind < 2 and (whole is not None) == kept:
+                    count[kind][digest] += 1 if kept else c
+            assert got[h, kept]["content"] == pytest.approx(1 - np.mean([np.log(c) / np.log(n) for c in count[1].values()]))
+            if not kept:
+                p = np.array(list(count[0].values())) / sum(count[0].values())
+                assert got[h, kept]["presentation"] == pytest.approx(-(p * np.log(p)).sum() / np.log(n))
+
+
+def test_small_hosts_use_their_domain(spark):
+    rng = random.Random(23)
+    page = lambda i: f"<body><div class=top><p>Welcome to our shop of all things</p></div><div class=txt><p>{words(rng, 30)}</p></div></body>"
+    rows = [(i, f"http://h{i % 6}.shop.org/{i}", page(i)) for i in range(24)] + [(100, "http://alone.net/", page(0))]
+    got = {r["page_id"]: r["text"] for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("Welcome" not in got[i] and len(got[i].split()) == 30 for i in range(24)) and "Welcome" in got[100]
+
+
 def test_pages_equal_their_articles(spark):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in registered.op8_main_text(spark, SF).collect():
@@ -545,7 +591,7 @@ def test_nearest_neighbours(spark):
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, [1.0, 2.0]), (None, [1.0] * 16), (2005, [float("inf")] * 16)]
     df = spark.createDataFrame([(i, r, "x") for i, r in rows], "vec_id long, embedding array<float>, score string")
     got = collections.defaultdict(list)
-    for r in ann.search(df, F.col("id") % 20 == 0, 20, depth=3).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, F.col("id") % 20 == 0, 20, leaf_rows=180).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     d = v.astype(np.float64)
     found = 0
@@ -563,6 +609,43 @@ def test_nearest_neighbours(spark):
     assert ann.search(few.limit(0), F.lit(True), 20).count() == 0
 
 
+def test_clustered_vectors_need_few_rows(spark):
+    """Forty clusters: every query gets its k rows, and its opened leaves hold less than a third of all rows a tree."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 24)) * 4
+    v = (centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 24)) * 0.3).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("id") % 200 == 0, 20, leaf_rows=125).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    d = v.astype(np.float64)
+    found = sum(len(set(got[q]) & set(sorted((i for i in range(8000) if i != q), key=lambda i: (-(d[i] @ d[q]), i))[:20])) for q in range(0, 8000, 200))
+    assert all(len(got[q]) == 20 for q in range(0, 8000, 200)) and found >= 0.9 * 20 * 40
+    largest = (d * d).sum(axis=1).max()
+    points = np.hstack([d, np.sqrt(largest - (d * d).sum(axis=1))[:, None]])
+    forest = ann.Forest(points, 6, 6, 17)
+    share = ann.calibrated(forest, points, d, 20, 0.95)
+    assert share < 1 / 3 and 6 * share < 2
+    rows = np.zeros_like(forest.sizes)
+    rows[:, ::2] = 5
+    assert max(sum(rows[c >> 6, c & 63] for c in forest.opened(points[0], 0.0, rows, 21) if c >> 6 == t) for t in range(6)) >= 21
+
+
+def test_registered_search_reaches_its_recall(spark):
+    d = "/root/testdata/sf0.1"
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect() if r["embedding"]}
+    ids, v = np.array(list(rows)), np.stack(list(rows.values()))
+    got = collections.defaultdict(set)
+    for r in registered.op9_nearest(spark, d).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    found = 0
+    for q in got:
+        scores = v @ rows[q]
+        scores[ids == q] = -np.inf
+        found += len(got[q] & set(ids[np.lexsort((ids, -scores))[:20]].tolist()))
+    assert set(got) == {i for i in rows if i % 20 == 0} and found >= 0.9 * 20 * len(got)
+
+
 # Shards.
 
 
