@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become tokens; numbers, names (capitalised words that are no function words, several in a row being one name) and
+Texts become tokens; numbers, names (capitalised words that are no function words; several in a row are one name) and
 units (after a number) become typed placeholders wherever they stand, all other words are lower-cased. Windows of
 `window` tokens are hashed and hash-joined with those of the benchmark items, so a question whose numbers or names were
 changed still meets its template. Neighbouring windows on one diagonal form runs. Inside a run, slots are consistent
@@ -43,27 +43,28 @@ FUNCTION_WORDS = (
     "their", "then", "there", "these", "they", "this", "those", "to", "was", "we", "were", "what", "when", "where",
     "which", "who", "why", "will", "with", "you",
 )
-_PLAIN = "|".join(w.capitalize() for w in FUNCTION_WORDS)
-_ONE_NAME = f"(?!(?:{_PLAIN})(?!\\p{{L}}))\\p{{Lu}}\\p{{Ll}}++(?!\\p{{L}})"
-_TOKEN = f"{_ONE_NAME}(?: {_ONE_NAME})*|\\p{{L}}++|\\p{{N}}++(?:[.,]\\p{{N}}++)*|[%$€£]"
+_NAME = "\\p{Lu}\\p{Ll}++"
+_TOKEN = f"{_NAME}(?: {_NAME}(?!\\p{{L}}))+|\\p{{L}}++|\\p{{N}}++(?:[.,]\\p{{N}}++)*|[%$€£]"
 
 
 def tokens(text: Column) -> Column:
-    """Raw tokens; a name of several words is one."""
+    """Raw tokens; capitalised words in a row are one."""
     return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(_TOKEN), F.lit(0))
 
 
-def canonical(raw: str, units: tuple[str, ...] = UNITS) -> Column:
-    """Tokens of the column raw with placeholders: #n for numbers, #w for names, #u for units after a number."""
+def canonical(raw: str, numbered: str, units: tuple[str, ...] = UNITS) -> Column:
+    """Tokens of the column raw with placeholders: #n for numbers, #w for names, #u for units after a number. The
+    column numbered tells whether the text has a digit at all."""
     known = F.array(*[F.lit(u) for u in units])
     number = lambda x: F.ascii(x).between(48, 57) | ((F.ascii(x) > 127) & x.rlike("^\\p{N}"))
+    name = lambda x, word: (word != x) & ~word.isin(*FUNCTION_WORDS) & x.rlike(f"^{_NAME}(?: {_NAME})*$")
+    plain = lambda x: F.when(name(x, F.lower(x)), "#w").otherwise(F.lower(x))
 
     def one(x: Column, i: Column) -> Column:
-        word = F.lower(x)
         before = F.coalesce(number(F.get(F.col(raw), i - 1)), F.lit(False))
-        return F.when(number(x), "#n").when((word != x) & x.rlike(f"^{_ONE_NAME}"), "#w").when(before & F.array_contains(known, word), "#u").otherwise(word)
+        return F.when(number(x), "#n").when(before & F.array_contains(known, F.lower(x)), "#u").otherwise(plain(x))
 
-    return F.transform(F.col(raw), one)
+    return F.when(F.col(numbered), F.transform(raw, one)).otherwise(F.transform(raw, plain))
 
 
 def _held(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
@@ -72,28 +73,44 @@ def _held(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
     return df.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
+def _cut(texts: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys, raw and can: the raw and the canonical tokens of the texts that have `least` of them."""
+    text = F.col("text")
+    raw = _held(texts, keys, [tokens(text).alias("raw"), F.coalesce(text.rlike("\\p{N}"), F.lit(False)).alias("numbered")])
+    return _held(raw.where(F.size("raw") >= least), [*keys, "raw"], [canonical("raw", "numbered").alias("can")])
+
+
+def _slot(x: Column) -> Column:
+    return x.startswith("#")
+
+
 def windows(texts: DataFrame, keys: list[str], sizes: list[int], dense: bool = True) -> DataFrame:
-    """keys, pos, size, by_value, hash and the raw and canonical tokens of all windows of these sizes. Each has a row
-    with the hash of its template (by_value false); with `dense`, those of texts with slots also have one with the hash
-    of their slots' values. texts: keys and text."""
-    slot = lambda x: x.startswith("#")
-    cut = _held(texts, keys, [tokens(F.col("text")).alias("raw")])
-    cut = _held(cut.where(F.size("raw") >= min(sizes)), [*keys, "raw"], [canonical("raw").alias("can")])
-    cut = _held(cut, [*keys, "raw", "can"], [F.transform("can", lambda x: F.xxhash64(x)).alias("h")])
-    cut = cut.withColumn("by_value", F.lit(False))
+    """keys, pos, size, by_value and hash of all windows of these sizes. Each has a row with the hash of its template
+    (by_value false); with `dense`, those of texts with slots also have one with the hash of their slots' values.
+    texts: keys and text."""
+    cut = _cut(texts, keys, min(sizes))
+    made = _held(cut, keys, [F.transform("can", lambda x: F.xxhash64(x)).alias("h"), F.lit(False).alias("by_value")])
     if dense:
-        valued = F.zip_with("can", "raw", lambda c, r: F.xxhash64(c, F.when(slot(c), F.lower(r))))
-        cut = cut.unionByName(_held(cut.where(F.exists("can", slot)).drop("h", "by_value"), [*keys, "raw", "can"], [valued.alias("h"), F.lit(True).alias("by_value")]))
-
+        valued = F.zip_with("can", "raw", lambda c, r: F.xxhash64(c, F.when(_slot(c), F.lower(r))))
+        made = made.unionByName(_held(cut.where(F.exists("can", _slot)), keys, [valued.alias("h"), F.lit(True).alias("by_value")]))
     def of(size: int) -> DataFrame:
         last = F.size("h") - size
-        window = lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(size), "by_value", F.slice("h", i + 1, size)).alias("hash"), F.slice("raw", i + 1, size).alias("raw"), F.slice("can", i + 1, size).alias("can"))
-        return cut.where(last >= 0).select(*keys, F.lit(size).alias("size"), "by_value", F.inline(F.transform(F.sequence(F.lit(0), last), window)))
+        hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(size), F.slice("h", i + 1, size)))
+        return made.where(last >= 0).select(*keys, F.lit(size).alias("size"), "by_value", F.posexplode(hashes).alias("pos", "hash"))
 
-    made = of(sizes[0])
+    out = of(sizes[0])
     for size in sizes[1:]:
-        made = made.unionByName(of(size))
-    return made
+        out = out.unionByName(of(size))
+    return out
+
+
+def _places(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, pos, size and slots (at and value of the placeholders) of the windows at the texts' places. texts: keys,
+    text and places (pos and size)."""
+    cut = _cut(texts, [*keys, "places"], 1)
+    window = lambda p: F.struct(p["pos"].alias("pos"), p["size"].alias("size"), F.slice("raw", p["pos"] + 1, p["size"]).alias("raw"), F.slice("can", p["pos"] + 1, p["size"]).alias("can"))
+    found = cut.select(*keys, F.inline(F.transform("places", window)))
+    return found.select(*keys, "pos", "size", _slots("can", "raw").alias("slots"))
 
 
 def _slots(can: str, raw: str) -> Column:
@@ -109,23 +126,32 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int =
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct()
     lengths = items.select("item_id", F.xxhash64("text").alias("item_hash"), "text", F.size(tokens(F.col("text"))).alias("item_tokens")).where("item_tokens > 0")
     short = sorted(r["n"] for r in lengths.where(F.col("item_tokens") < window).select(F.col("item_tokens").alias("n")).distinct().collect())  # window - 1 at most
-    full = windows(lengths.where(F.col("item_tokens") >= window).select(*item, "text"), item, [window])
-    for n in short:
-        full = full.unionByName(windows(lengths.where(F.col("item_tokens") == n).select(*item, "text"), item, [n]))
-    full = full.withColumn("slots", _slots("can", "raw")).where((F.size("slots") * 2 > F.col("size")) == F.col("by_value"))
-    marks = full.join(lengths.select(*item, "item_tokens"), item)
+    size = F.least(F.col("item_tokens"), F.lit(window))
+    every = F.transform(F.sequence(F.lit(0), F.col("item_tokens") - size), lambda i: F.struct(i.alias("pos"), size.alias("size")))
+    slots = _places(lengths.select(*item, "text", every.alias("places")), item)
+    marks = windows(lengths.select(*item, "text"), item, [window, *short]).join(slots, [*item, "pos", "size"])
+    marks = marks.where((F.size("slots") * 2 > F.col("size")) == F.col("by_value")).join(lengths.select(*item, "item_tokens"), item)
+    marks = marks.where(F.col("size") == F.least(F.col("item_tokens"), F.lit(window)))
     marks = staged(marks.select("hash", "by_value", *item, F.col("pos").alias("item_pos"), F.col("slots.value").alias("item_slots"), "item_tokens"), "benchmark-windows")
     few = marks.limit(most_broadcast + 1).count() <= most_broadcast
     dense = not marks.where("by_value").isEmpty()
 
+    # Hashes first: where the documents' windows meet the benchmark's.
     own = ["doc_id", "doc_hash"]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    every = windows(texts, own, [window, *short], dense).drop("by_value")
     marks = marks.drop("by_value")
-    hits = every.join(F.broadcast(marks) if few else marks, "hash")
-    values = F.zip_with(_slots("can", "raw"), "item_slots", lambda d, i: F.struct((F.col("pos") + d["at"]).alias("t"), i.alias("i"), d["value"].alias("d")))
+    met = windows(texts, own, [window, *short], dense).drop("by_value").join(F.broadcast(marks) if few else marks, "hash")
+    met = staged(met.select(*own, "pos", "size", *item, "item_pos", "item_slots", "item_tokens"), "benchmark-hits")
+
+    # Then the slots of those windows, from the texts that have any.
+    places = met.select(*own, "pos", "size").distinct().groupBy(*own).agg(F.collect_list(F.struct("pos", "size")).alias("places"), F.count(F.lit(1)).alias("n"))  # a text's own windows
+    places = staged(places, "benchmark-places")
+    total = places.agg(F.sum("n")).first()[0] or 0
+    wanted = texts.join(F.broadcast(places.drop("n")) if total <= most_broadcast * 4 else places.drop("n"), own)
+    found = _places(wanted, own).dropDuplicates([*own, "pos", "size"])
+    values = F.zip_with("slots", "item_slots", lambda d, i: F.struct((F.col("pos") + d["at"]).alias("t"), i.alias("i"), d["value"].alias("d")))
     line = [*own, *item, "size", "diagonal"]
-    hits = hits.select(*own, *item, "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", "item_tokens", values.alias("slots"))
+    hits = met.join(found, [*own, "pos", "size"]).select(*own, *item, "size", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos", "item_tokens", values.alias("slots"))
     hits = hits.repartition(*own, *item).dropDuplicates([*line, "pos"])
 
     # Runs, and in each of them a row for every window's start and every slot.
