@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapoint.staging import hadoop_path, read_text, scratch, shared_dir, staged, write_once
+from terrapoint.staging import discard, hadoop_path, read_text, scratch, shared_dir, staged, write_once
 
-__all__ = ["IdFilter", "fold", "fresh", "hadoop_path", "read_text", "scratch", "shared_dir", "ship", "staged", "table", "without_ids", "write_once"]
+__all__ = ["IdFilter", "discard", "fold", "fresh", "hadoop_path", "read_text", "scratch", "shared_dir", "ship", "staged", "table", "without_ids", "write_once"]
 
 
 #: Rows and bytes of a batch between the JVM and Python; a Python worker then needs some tens of MB for its batches.

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapoint.llm.common import IdFilter, fresh, scratch, staged
+from terrapoint.llm.common import IdFilter, discard, fresh, scratch, staged
 
 _WORD = re.compile(r"\w+")
 _KEPT_WORDS = 150_000
@@ -141,7 +141,7 @@ def _numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
-def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity: float = 0.8, block_bytes: int = 16 << 20, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity: float = 0.8, block_bytes: int = 4 << 20, seed: int = 7, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, th, digest (of the row's words; null without any), root (digest that names its class), class_id, words_id
     and links of every row; see classes()."""
     spark = docs.sparkSession
@@ -204,7 +204,7 @@ def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
 
     with_a = pairs.join(sequences.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a")
     both = with_a.join(sequences.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
-    links = staged(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "near-links")
+    links = verified = staged(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "near-links")
     parts = staged(components(links), "near-parts")
 
     # The rest: members of one group that the stars left in different parts. A group of two is compared already.
@@ -283,14 +283,17 @@ def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
             return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
         more = staged(minor.groupBy("key", "x", "y").cogroup(every.groupBy("key", "x", "y")).applyInPandas(compare, "a binary, b binary"), "near-more")
+        discard(full)
     if not more.isEmpty():
-        links = staged(links.unionByName(more).distinct(), "near-all-links")
-        parts = staged(components(links), "near-all-parts")
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+        links = links.unionByName(more)
+        joined = parts.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
+        parts = staged(components(joined), "near-all-parts")
+    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     named = nodes.select("id", "words_id").join(parts, "id", "left").join(degree, "id", "left").select("id", "words_id", F.coalesce("root", "id").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    named = staged(named, "near-named")
+    named = every_node = staged(named, "near-named")
     names = staged(named.groupBy("root").agg(F.min("words_id").alias("class_id")), "near-names")
     named = staged(named.join(names, "root").select(F.col("id").alias("digest"), "words_id", "class_id", "root", "links"), "near-classes")
+    discard(every_node, nodes, shared, held, pivots, pairs, sequences, verified, more, rooted, mixed, names)
     columns = ["doc_id", "th", "digest", "root", "class_id", "words_id", "links"]
     found = digests.where("digest is not null").select("doc_id", "th", "digest").join(named, "digest").select(*columns)
     alone = digests.where("digest is null").select("doc_id", "th", "digest", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("words_id"), F.lit(0).cast("long").alias("links"))
@@ -340,22 +343,24 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """id and root (the smallest id of its connected part) for every id in links(a, b). Large stars and small stars in
-    turn until the links are stars; each round is written, so a lost executor costs no more than one round, and the
-    smallest neighbours are written before they are joined, so that a node with many links can be split."""
+    turn until the links are stars; each step is written, so a lost executor costs no more than one, and the smallest
+    neighbours are written before they are joined, so that a node with many links can be split."""
     edges = staged(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links-0")
-    before = None
     for turn in range(most_rounds):
+        # Stars: every node above another has one neighbour below it, and that one none.
+        forks = edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        chains = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u").distinct().hint("merge"), "u", "left_semi")
+        if forks.where("n > 1").select("u").unionByName(chains).isEmpty():
+            roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
         # Large star: a node's larger neighbours go to its smallest neighbour, if that is smaller than the node.
         least = staged(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), f"links-least-{turn}")
         large = edges.join(least.hint("merge"), F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
         large = staged(large.distinct(), f"links-large-{turn}")
+        discard(least, edges)
         # Small star: every smaller neighbour of a node, and the node, go to the smallest of them.
         least = staged(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), f"links-small-{turn}")
         moved = large.join(least.hint("merge"), F.col("u") == F.col("w")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v")
         edges = staged(moved.distinct(), f"links-{turn + 1}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-            return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
-        before = now
+        discard(least, large)
     raise RuntimeError(f"the links were not stars after {most_rounds} rounds")

@@ -726,17 +726,75 @@ def test_id_filter_is_exact_after_the_join(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against brute force on what the one before kept."""
+    from tokenizers import Tokenizer
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     given = spark.read.parquet(f"{SF}/documents.parquet")
-    current, kept = given, {}
+    current, kept = given, {"given": given.collect()}
     for name, stage in corpus_pipeline.STAGES:
         current = stage(spark, current, SF).cache()
-        kept[name] = {r["doc_id"] for r in current.select("doc_id").collect()}
+        kept[name] = current.collect()
         if name != "packing":
             assert current.columns == given.columns
+    ids = {name: {r["doc_id"] for r in rows} for name, rows in kept.items()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
-    assert not any(labels.get(i) == 0 for i in kept["quality"]) and all(i in kept["quality"] for i, q in labels.items() if q == 1)
-    texts = [r["text"] for r in given.collect() if r["doc_id"] in kept["near_duplicates"]]
-    assert len(texts) == len(set(texts)) and kept["near_duplicates"] <= kept["quality"]
-    assert kept["decontamination"] <= kept["substring_dedup"] and kept["packing"] == kept["decontamination"]
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == kept["packing"]
+    assert not any(labels.get(i) == 0 for i in ids["quality"]) and all(i in ids["quality"] for i, q in labels.items() if q == 1)
+
+    # Near duplicates: all pairs.
+    with np.errstate(over="ignore"):
+        made = {r["doc_id"]: near_dup.shingles(near_dup.word_hashes(r["text"]), 5) for r in kept["quality"] if near_dup.word_hashes(r["text"] or "").size}
+    root = {i: i for i in made}
+    order = sorted(made)
+    for n, a in enumerate(order):
+        for b in order[n + 1 :]:
+            if min(len(made[a]), len(made[b])) >= 0.8 * max(len(made[a]), len(made[b])) and root[a] != root[b] and near_dup.aligned_similarity(made[a], made[b], 0.8) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert ids["near_duplicates"] == (ids["quality"] - set(made)) | {i for i, r in root.items() if i == r}
+
+    # Repeated passages: no 60 words of one document are left in a later one, and clean texts are whole.
+    before, after = ({r["doc_id"]: (r["text"] or "").split() for r in kept[n]} for n in ("near_duplicates", "substring_dedup"))
+    seen: dict[tuple, int] = {}
+    for i in sorted(before):
+        for k in range(len(before[i]) - 59):
+            seen.setdefault(tuple(before[i][k : k + 60]), i)
+    assert not [i for i, w in after.items() for k in range(len(w) - 59) if seen.get(tuple(w[k : k + 60]), i) < i]
+    owners: dict[tuple, set] = collections.defaultdict(set)
+    for i, w in before.items():
+        for k in range(len(w) - 11):
+            owners[tuple(w[k : k + 12])].add(i)
+    alone = [i for i, w in before.items() if all(len(owners[tuple(w[k : k + 12])]) == 1 for k in range(len(w) - 11))]
+    assert len(alone) > 50 and all(after[i] == before[i] for i in alone if before[i])
+
+    # Benchmark passages: whole items are gone, texts without eight common words in a row stay.
+    token = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    items = [token(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    grams = {tuple(w[k : k + 8]) for w in items for k in range(len(w) - 7)}
+    for r in kept["substring_dedup"]:
+        text = f" {' '.join(token(r['text']))} "
+        if any(f" {' '.join(w)} " in text for w in items if w):
+            assert r["doc_id"] not in ids["decontamination"]
+        elif not any(tuple(token(r["text"])[k : k + 8]) in grams for k in range(len(token(r["text"])) - 7)):
+            assert r["doc_id"] in ids["decontamination"]
+
+    # Packing: every token once.
+    plain = Tokenizer.from_file(registered.tokenizer_path())
+    pieces = collections.defaultdict(dict)
+    for r in kept["packing"]:
+        pieces[r["doc_id"]][r["start"]] = np.frombuffer(r["ids"], dtype="<u4").tolist()
+    for r in kept["decontamination"]:
+        assert [x for _, p in sorted(pieces[r["doc_id"]].items()) for x in p] == plain.encode(r["text"] or "", add_special_tokens=False).ids + [0]
+    whole = lambda rows: sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in rows)
+    assert whole(corpus_pipeline.run(spark, SF).collect()) == whole(kept["packing"])
+
+
+def test_encoder_equals_the_file(spark):
+    from tokenizers import Tokenizer
+
+    plain, fast, rng = Tokenizer.from_file(registered.tokenizer_path()), packing.encoder(registered.tokenizer_path()), random.Random(24)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(100).collect() if r["text"]]
+    alphabet = "abcXYZ  \t\n\r.,;'\"0129²½ºéßñ日本語ไทย\u00a0\u200b\u2028\x1c\x85👍🏽<|>'s've'Re"
+    texts += ["".join(rng.choices(alphabet, k=rng.randrange(1, 60))) for _ in range(3000)]
+    for t in texts:
+        assert np.frombuffer(fast.encode(t), dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
