@@ -51,7 +51,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The stages learn a field, align texts and cut bytes, which SQL can't express; tests hold run() against brute force.
+#: The stages learn a field, align texts and cut bytes, which SQL can't express; tests/llm holds each stage and run()
+#: against brute force on a small table.
 ORACLE_SQL: str | None = None
 
 

@@ -77,4 +77,13 @@ def staged(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage, and survives the loss of any executor."""
     path = path or scratch(df.sparkSession, label)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes staged tables whose readers have all been written themselves."""
+    for df in frames:
+        if path := getattr(df, "staged_at", None):
+            _remove(df.sparkSession, path)
