@@ -149,7 +149,7 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds:
     spans = [max(facts[f"hi{d}"] - facts[f"lo{d}"], 0.0) for d in range(dims)]
     used = [s for s in spans if s > 0]
     base = (math.prod(used) * k / facts["n"]) ** (1 / len(used)) if used else 1.0
-    finest, cap = 2 * base / 2.0**20, 16 * k + 64
+    finest, cap = 2 * base / 2.0**20, 64 * k + 256
     left = queries.select(F.col("query_id").cast("long").alias("query_id"), *[F.col(f"q{d}").cast("double").alias(f"q{d}") for d in range(dims)])
     # A query outside the extent starts with a radius that reaches it.
     outside = F.sqrt(sum((F.pow(F.greatest(F.lit(float(facts[f"lo{d}"])) - F.col(f"q{d}"), F.col(f"q{d}") - F.lit(float(facts[f"hi{d}"])), F.lit(0.0)), 2) for d in range(dims)), F.lit(0.0)))
@@ -175,7 +175,7 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds:
         state = staged(state, f"knn-state-{turn}")
         part = found.join(state.where("ready").select("query_id"), "query_id", "left_semi")
         done = part if done is None else done.unionByName(part)
-        smaller = F.col("radius") * F.greatest(F.lit(1 / 64), F.pow(F.lit(cap / 4.0) / F.col("many"), F.lit(1.0 / dims)))
+        smaller = F.col("radius") * F.greatest(F.lit(1 / 64), F.pow(F.lit(cap / 8.0) / F.col("many"), F.lit(1.0 / dims)))
         rest = state.where("not ready")
         left = rest.select(*[c for c in columns if c not in ("radius", "low")], F.when(F.col("ask"), F.col("radius") * 2).otherwise(F.greatest(smaller, 2 * F.col("low"))).alias("radius"), F.when(F.col("ask"), F.col("radius")).otherwise(F.col("low")).alias("low")).select(*columns)
         if left.isEmpty():
