@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import shutil
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapoint.staging import discard, hadoop_path, read_text, scratch, shared_dir, staged, write_once
 
-__all__ = ["IdFilter", "discard", "fold", "fresh", "hadoop_path", "read_text", "scratch", "shared_dir", "ship", "staged", "table", "without_ids", "write_once"]
+__all__ = ["IdFilter", "discard", "fold", "fresh", "hadoop_path", "read_text", "scratch", "shared_dir", "ship", "staged", "table", "trim", "trimmed", "without_ids", "write_once"]
 
 
 #: Rows and bytes of a batch between the JVM and Python; a Python worker then needs some tens of MB for its batches.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,6 +37,26 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="terrapoint-"), "terrapoint"), "zip", root, "terrapoint"))
 
 
+def trim() -> None:
+    """Gives what this Python worker has freed back to the system: workers live on idle beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's alone
+        release(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with trim() at the end of each task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrapoint.llm.common import IdFilter, discard, fresh, scratch, staged
+from terrapoint.llm.common import IdFilter, discard, fresh, scratch, staged, trimmed
 
 _WORD = re.compile(r"\w+")
-_KEPT_WORDS = 150_000
+_KEPT_WORDS = 100_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
 _KNOWN: dict[str, int] = {}
 
@@ -160,7 +160,7 @@ def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
                         made.append(_signed(sketches(shingles(words, k), seeds, l)).tolist() if len(words) else None)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(names, pa.binary()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "th", "digest", "s"])
 
-    digests = staged(rows.mapInArrow(digest, "doc_id long, th long, digest binary, s array<bigint>"), "near-digests")
+    digests = staged(rows.mapInArrow(trimmed(digest), "doc_id long, th long, digest binary, s array<bigint>"), "near-digests")
     nodes = digests.where("digest is not null").groupBy(F.col("digest").alias("id"))
     nodes = staged(nodes.agg(F.min("doc_id").alias("words_id"), F.min("th").alias("th"), F.first("s").alias("s")), "near-nodes")
 
@@ -191,7 +191,7 @@ def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in found], pa.binary()), pa.array(packed, pa.binary())], ["id", "seq"])
 
     placed = rows.select("text", IdFilter.place(F.col("th")).alias("place"))
-    sequences = placed.mapInArrow(sequence, "id binary, seq binary").where("id is not null").dropDuplicates(["id"])
+    sequences = placed.mapInArrow(trimmed(sequence), "id binary, seq binary").where("id is not null").dropDuplicates(["id"])
     sequences = staged(sequences.join(held.select("id").hint("merge"), "id", "left_semi"), "near-sequences")
 
     def unpacked(raw: bytes) -> np.ndarray:
@@ -204,7 +204,7 @@ def grouped(docs: DataFrame, k: int = 5, l: int = 3, count: int = 16, similarity
 
     with_a = pairs.join(sequences.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a")
     both = with_a.join(sequences.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
-    links = verified = staged(both.select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary"), "near-links")
+    links = verified = staged(both.select("a", "b", "x", "y").mapInArrow(trimmed(verify), "a binary, b binary"), "near-links")
     parts = staged(components(links), "near-parts")
 
     # The rest: members of one group that the stars left in different parts. A group of two is compared already.

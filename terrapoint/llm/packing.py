@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrapoint.llm.common import trimmed
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -49,13 +51,11 @@ class Encoder:
         import re
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        self.path, self.tokenizer = path, None  # loaded again when a text needs it
+        self.path, self.tokenizer = path, None  # loaded when a text needs it
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+            whole = json.load(f)
+        vocabulary, special = whole["model"]["vocab"], {t["content"] for t in whole.get("added_tokens", [])}
         byte_of = _byte_of()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.spaced, self.single = (tiktoken.Encoding("words", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe for p in (_WORDS, _WORDS_SINGLE_SPACED))
@@ -189,5 +189,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, i
         if out:
             yield flushed()
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapoint.llm import learning
+from terrapoint.llm.common import trim, trimmed
 
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
 _MARKS, _SYMBOLS = b".,;:?'\"()-", b"#$%&*+/<=>@[\\]^_`{|}~"
@@ -199,7 +200,7 @@ def score(docs: DataFrame, model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p), pa.array(share)], ["doc_id", "score", "good_share"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, score double, good_share double")
+    return texts.mapInArrow(trimmed(run), "doc_id long, score double, good_share double")
 
 
 def mark(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
@@ -222,6 +223,7 @@ def mark(docs: DataFrame, model, threshold: float = 0.3) -> DataFrame:
             field, a, b = held
             share = shares(field.marginals(np.vstack([f[0] for f in found]), sizes), np.concatenate([f[1] for f in found]), sizes)
             out += list(1 / (1 + np.exp(-np.clip(a * share + b, -40, 40))) >= threshold)
+        trim()
         return pd.Series(out, dtype="bool")
 
     return docs.withColumn("quality_keep", keep(F.col("text").cast("string")))
