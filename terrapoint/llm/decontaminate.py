@@ -44,7 +44,9 @@ FUNCTION_WORDS = (
     "which", "who", "why", "will", "with", "you",
 )
 _NAME = "\\p{Lu}\\p{Ll}++"
-_TOKEN = f"{_NAME}(?: {_NAME}(?!\\p{{L}}))+|\\p{{L}}++|\\p{{N}}++(?:[.,]\\p{{N}}++)*|[%$€£]"
+# Repeated groups are possessive: Java's other ones take stack for every repeat, and a row of names has no bound.
+_NAMES = f"{_NAME}(?: {_NAME})*+"
+_TOKEN = f"{_NAME}(?: {_NAME}(?!\\p{{L}}))++|\\p{{L}}++|\\p{{N}}++(?:[.,]\\p{{N}}++)*+|[%$€£]"
 
 
 def tokens(text: Column) -> Column:
@@ -57,7 +59,7 @@ def canonical(raw: str, numbered: str, units: tuple[str, ...] = UNITS) -> Column
     column numbered tells whether the text has a digit at all."""
     known = F.array(*[F.lit(u) for u in units])
     number = lambda x: F.ascii(x).between(48, 57) | ((F.ascii(x) > 127) & x.rlike("^\\p{N}"))
-    name = lambda x, word: (word != x) & ~word.isin(*FUNCTION_WORDS) & x.rlike(f"^{_NAME}(?: {_NAME})*$")
+    name = lambda x, word: (word != x) & ~word.isin(*FUNCTION_WORDS) & x.rlike(f"^{_NAMES}$")
     plain = lambda x: F.when(name(x, F.lower(x)), "#w").otherwise(F.lower(x))
 
     def one(x: Column, i: Column) -> Column:

@@ -327,6 +327,15 @@ def test_items_dense_in_slots_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs(spark, texts), benchmark).collect()} == {(1, 1), (2, 2)}
 
 
+def test_rows_of_names_and_numbers_have_no_bound(spark):
+    """Long rows of capitalised words and of numbers with commas are one token each, and passages beside them are found."""
+    item = " ".join(f"x{c}" for c in "abcdefghijklmnop")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [(1, f"{'Anna Bert ' * 100_000}{item}"), (2, f"{'1,2,' * 200_000}3 {item}"), (3, "Anna Bert " * 100_000)]
+    got = {r["doc_id"]: (r["start"], r["tokens"]) for r in decontaminate.matches(docs(spark, texts), benchmark).collect()}
+    assert got == {1: (1, 16), 2: (1, 16)}
+
+
 def test_whole_items_are_found_like_brute_force(spark):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     token = lambda t: f" {' '.join(re.findall(r'[^\W\d_]+', t.lower()))} "
