@@ -8,8 +8,10 @@ back short. Trees are as deep as leaves of about `leaf_rows` rows need (four lea
 
 Inner products become angles by one added axis, sqrt(M^2 - |x|^2) with M the largest norm, which is 0 for queries.
 Equal vectors are indexed once, with the few smallest ids they can contribute to any answer, so a vector that a third
-of all rows share costs no more than another. Leaves and their queries are cut into blocks of bounded size, and each
-block hands on only the best few of each query. The share of rows that must be looked at for a given recall belongs to
+of all rows share costs no more than another. Rows meet queries by branch: the largest part of a tree that holds
+`BLOCK_BYTES` of vectors at most, by a count of all rows; larger leaves, and branches that more than `BLOCK_QUERIES`
+queries open, are cut into blocks. Each block scores the opened leaves alone and hands on the best few of each query, so
+a query has as many short lists as it meets branches, however many leaves it opens in them. The share of rows that must be looked at for a given recall belongs to
 the data: for vectors without structure it is large and stays so at every size. A row is scored in each tree that finds
 it, so at a share s a query costs s times the number of trees dot products a row, which for such vectors is more than
 brute force needs; clustered vectors need a small part of that.
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 from terrapoint.llm.common import staged
 
 RESULT = "query_id long, rank int, vec_id long, score double"
-BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4_096
+BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 4_096
+#: Scores held at once inside a block, and candidates gathered before they are cut to the best few of each query.
+SCORES, GATHERED = 1 << 22, 1 << 20
 
 
 class Forest:
@@ -120,6 +124,38 @@ def calibrated(forest: Forest, points: np.ndarray, raw: np.ndarray, k: int, reca
     return min(1.0, np.ceil(share * 40) / 40)
 
 
+def branches(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The branch of each tree and leaf, and of each branch how many blocks of `most` rows it takes: the highest nodes
+    that hold `most` rows at most, and single leaves beyond that. sizes: all rows by tree and leaf."""
+    of, blocks = np.zeros(sizes.shape, dtype=np.int64), []
+    for t in range(len(sizes)):
+        queue = [(0, sizes.shape[1])]
+        while queue:
+            lo, hi = queue.pop()
+            held = int(sizes[t, lo:hi].sum())
+            if held <= most or hi - lo == 1:
+                of[t, lo:hi] = len(blocks)
+                blocks.append(max(1, -(-held // most)))
+            else:
+                queue += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+    return of, np.array(blocks)
+
+
+def _best(q: np.ndarray, c: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k entries of each q with the largest scores, ties to the smaller c."""
+    order = np.lexsort((c, -score, q))
+    q = q[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    order = order[place < k]
+    return q[place < k], c[order], score[order]
+
+
+def _dots(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """a[i] * b[j], row by row, in pieces that bound the memory."""
+    step = max(1, SCORES // a.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", a[i[at : at + step]], b[j[at : at + step]], optimize=False) for at in range(0, len(i), step)])
+
+
 def _finite(column: Column) -> Column:
     good = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return column.isNotNull() & F.coalesce(good, F.lit(False)) & F.exists(column, lambda x: x != 0)
@@ -173,50 +209,76 @@ def search(
         f = held.value
         return pd.Series([[*row] for row in f.leaves(lifted(np.stack(v.to_numpy()))) + (np.arange(f.trees) << f.depth)]) if len(v) else pd.Series([], dtype=object)
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<array<int>>")
     def opened_by(v: pd.Series) -> pd.Series:
-        f, rows = held.value, counted.value
-        return pd.Series([f.opened(np.append(x, 0.0), share, rows, min(k + 1, int(rows[0].sum()))) for x in v], dtype=object)
+        """By branch: its number, and the cells to open in it."""
+        f, (rows, of) = held.value, counted.value
+        out = []
+        for x in v:
+            met: dict[int, list[int]] = {}
+            for cell in f.opened(np.append(x, 0.0), share, rows, min(k + 1, int(rows[0].sum()))):
+                branch = int(of[cell >> f.depth, cell & ((1 << f.depth) - 1)])
+                met.setdefault(branch, [branch]).append(cell)
+            out.append(list(met.values()))
+        return pd.Series(out, dtype=object)
 
     indexed = classes.select("cls", "v", F.explode(cells_of("v")).alias("cell"))
     sizes = np.zeros((forest.trees, 1 << depth), dtype=np.int64)
     for r in indexed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():  # trees * 2^depth rows at most
         sizes[r["cell"] >> depth, r["cell"] & ((1 << depth) - 1)] = r["n"]
-    counted = spark.sparkContext.broadcast(sizes)
+    branch_of, parts = branches(sizes, max(1, BLOCK_BYTES // (8 * width)))
+    counted = spark.sparkContext.broadcast((sizes, branch_of))
     queries = valid.where(query_rows).select(F.col("id").alias("query_id"), "v").join(classes.select("v", "cls"), "v").select("query_id", F.col("cls").alias("q"))
     asked = queries.select("q").distinct().join(classes.select(F.col("cls").alias("q"), "v"), "q")
-    asked = asked.select("q", "v", F.explode(opened_by("v")).alias("cell"))
+    asked = asked.select("q", "v", F.explode(opened_by("v")).alias("met")).select("q", "v", F.col("met")[0].alias("branch"), F.slice("met", 2, 1 << depth).alias("cells"))
+    asked = staged(asked, "ann-queries")
 
-    # Blocks: a leaf's rows meet its queries in pieces of bounded size, however large either side grows.
-    total = classes.count()
-    blocks = max(1, -(-total // (BLOCK_ROWS << depth)))
-    query_blocks = max(1, -(-queries.count() // (BLOCK_QUERIES << depth)))
-    whole = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    left = indexed.select("cell", "cls", "v", F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("b"), F.explode(whole(query_blocks)).alias("qb"))
-    right = asked.select("cell", "q", "v", F.explode(whole(blocks)).alias("b"), F.pmod(F.xxhash64("q"), F.lit(query_blocks)).alias("qb"))
+    # Blocks: a branch's rows meet its queries in pieces of bounded size, however large either side grows.
+    query_parts = np.ones(len(parts), dtype=np.int64)
+    for r in asked.groupBy("branch").agg(F.count(F.lit(1)).alias("n")).collect():  # trees * 2^depth rows at most
+        query_parts[r["branch"]] = -(-r["n"] // BLOCK_QUERIES)
+    layout = [((t << depth) + leaf, int(branch), int(parts[branch]), int(query_parts[branch])) for (t, leaf), branch in np.ndenumerate(branch_of)]
+    cells = spark.createDataFrame(layout, "cell int, branch int, parts long, query_parts long")
+    whole = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    left = indexed.join(F.broadcast(cells), "cell")
+    left = left.select("branch", "cell", "cls", "v", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("b"), F.explode(whole(F.col("query_parts"))).alias("qb"))
+    right = asked.join(F.broadcast(cells.drop("cell").distinct()), "branch")
+    right = right.select("branch", "q", "v", "cells", F.explode(whole(F.col("parts"))).alias("b"), F.pmod(F.xxhash64("q"), F.col("query_parts")).alias("qb"))
 
     def best(points_in: pd.DataFrame, queries_in: pd.DataFrame) -> pd.DataFrame:
         if points_in.empty or queries_in.empty:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "cls": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        p, c = np.stack(points_in["v"].to_numpy()), points_in["cls"].to_numpy()
-        qs, names = np.stack(queries_in["v"].to_numpy()), queries_in["q"].to_numpy()
-        order = np.argsort(c, kind="stable")
-        p, c = p[order], c[order]
-        out = []
-        for at in range(0, len(qs), 512):
-            part = qs[at : at + 512]
-            near = part @ p.T
-            m = min(len(c), k + 1)
-            if m < len(c):  # ties at the edge, and last-digit differences, stay in
-                edge = np.partition(near, len(c) - m, axis=1)[:, len(c) - m] - 1e-9 * max(largest, 1e-300)
-                i, j = np.nonzero(near >= edge[:, None])
-            else:
-                i, j = (x.ravel() for x in np.indices(near.shape))
-            out.append(pd.DataFrame({"q": names[at + i], "cls": c[j], "score": np.einsum("ij,ij->i", part[i], p[j], optimize=False)}))
-        found = pd.concat(out).sort_values(["q", "score", "cls"], ascending=[True, False, True])
-        return found[found.groupby("q").cumcount() <= k]
+        order = np.lexsort((points_in["cls"].to_numpy(), points_in["cell"].to_numpy()))
+        p, c, cell = np.stack(points_in["v"].to_numpy())[order], points_in["cls"].to_numpy()[order], points_in["cell"].to_numpy()[order]
+        qs, names, lists = np.stack(queries_in["v"].to_numpy()), queries_in["q"].to_numpy(), queries_in["cells"].to_numpy()
+        opened, by = np.concatenate(lists), np.repeat(np.arange(len(qs)), [len(x) for x in lists])
+        by = by[np.argsort(opened, kind="stable")]
+        opened = np.sort(opened, kind="stable")
+        gathered, held_now, kept = [], 0, 0
+        for leaf in np.unique(cell):
+            lo, hi = np.searchsorted(cell, [leaf, leaf + 1])
+            askers = by[slice(*np.searchsorted(opened, [leaf, leaf + 1]))]
+            step = max(1, SCORES // (hi - lo))
+            for at in range(0, len(askers), step):
+                part = askers[at : at + step]
+                near = qs[part] @ p[lo:hi].T
+                m = min(hi - lo, k + 1)
+                if m < hi - lo:  # ties at the edge, and last-digit differences, stay in
+                    edge = np.partition(near, hi - lo - m, axis=1)[:, hi - lo - m] - 1e-9 * max(largest, 1e-300)
+                    i, j = np.nonzero(near >= edge[:, None])
+                else:
+                    i, j = (x.ravel() for x in np.indices(near.shape))
+                gathered.append(_best(part[i], c[lo + j], _dots(qs, part[i], p, lo + j), k + 1))
+                held_now += len(gathered[-1][0])
+                if held_now > kept + GATHERED:
+                    gathered = [_best(*map(np.concatenate, zip(*gathered, strict=True)), k + 1)]
+                    held_now = kept = len(gathered[0][0])
+        if not gathered:
+            return best(points_in[:0], queries_in)
+        q, found, score = _best(*map(np.concatenate, zip(*gathered, strict=True)), k + 1)
+        return pd.DataFrame({"q": names[q], "cls": found, "score": score})
 
-    near = left.groupBy("cell", "b", "qb").cogroup(right.groupBy("cell", "b", "qb")).applyInPandas(best, "q long, cls long, score double")
+    near = left.groupBy("branch", "b", "qb").cogroup(right.groupBy("branch", "b", "qb")).applyInPandas(best, "q long, cls long, score double")
     ranked = near.withColumn("r", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).where(F.col("r") <= k + 1).select("q", "cls", "score").distinct()
     answers = queries.join(ranked, "q").join(classes.select("cls", "members"), "cls")
     answers = answers.select("query_id", "score", F.explode("members").alias("vec_id")).where(F.col("vec_id") != F.col("query_id"))

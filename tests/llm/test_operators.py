@@ -639,6 +639,37 @@ def test_clustered_vectors_need_few_rows(spark):
     assert max(sum(rows[c >> 6, c & 63] for c in forest.opened(points[0], 0.0, rows, 21) if c >> 6 == t) for t in range(6)) >= 21
 
 
+def made_by_cogroups(spark):
+    """Rows that the last execution with a cogroup made in it."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    for run in reversed([runs.apply(i).executionId() for i in range(runs.size())]):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in [nodes.apply(i) for i in range(nodes.size())]:
+            if node.name().startswith("FlatMapCoGroupsInPandas"):
+                metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                return next(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows")
+    raise AssertionError
+
+
+def test_short_lists_grow_with_the_queries(spark):
+    """Vectors without structure, whose queries open more leaves the more there are: four times the rows make four
+    times the short lists."""
+    rng = np.random.default_rng(5)
+    v, made = rng.normal(size=(4000, 16)), []
+    for n in (1000, 4000):
+        df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v[:n])], "vec_id long, embedding array<double>")
+        assert ann.search(df, F.col("id") % 20 == 0, 20, leaf_rows=60).count() == n // 20 * 20
+        made.append(made_by_cogroups(spark))
+    assert made[1] <= 4.5 * made[0]
+
+
+def test_branches_hold_every_leaf_once():
+    sizes = np.array([[10, 20, 30, 900, 5, 5, 5, 5], [1] * 8])
+    of, parts = ann.branches(sizes, 100)
+    assert of.tolist() == [[0, 0, 1, 2, 3, 3, 3, 3], [4] * 8] and parts.tolist() == [1, 1, 9, 1, 1]
+
+
 def test_registered_search_reaches_its_recall(spark):
     d = "/root/testdata/sf0.1"
     rows = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect() if r["embedding"]}
