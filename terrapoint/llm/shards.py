@@ -219,5 +219,6 @@ def compacted(store: ShardStore, arrivals: list[DataFrame]) -> DataFrame:
         store.vacuum()
     last = store.manifest()
     rows = store.read(last["version"])
-    name = F.regexp_extract(F.col("_metadata.file_path"), "(shard-[0-9a-f]+)/", 1)
+    # Rows of an empty store come from no file, which would have a name.
+    name = F.regexp_extract(F.col("_metadata.file_path"), "(shard-[0-9a-f]+)/", 1) if last["shards"] else F.lit("")
     return rows.select("*", name.alias(fresh(rows.columns, "shard")), F.lit(last["version"]).alias(fresh(rows.columns, "version")))

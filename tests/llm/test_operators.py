@@ -739,6 +739,20 @@ def test_vacuum_loses_nothing(spark, tmp_path):
     assert row["shard"] == "s" and row["version"] == "m" and row["shard_"].startswith("shard-")
 
 
+def test_sizes_change_no_row(spark, tmp_path):
+    """No rows, one row or all, in shards that are merged often, once or never: the same rows as were given."""
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    for n in (0, 1):
+        given.limit(n).write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        rows = registered.op2_compaction(spark, str(tmp_path / f"{n}"))
+        assert rows.count() == n and rows.columns == ["doc_id", "lang", "source", "n_chars", "text_chars", "text_md5"]
+    want = sorted(map(repr, given.collect()))
+    arrivals = [given.where(F.col("doc_id") % 5 == i) for i in range(5)]
+    for target, first in ((1 << 40, 1 << 40), (1 << 16, 1 << 10), (1, 1)):
+        store = shards.ShardStore(spark, str(tmp_path / f"{target}"), target_bytes=target, first_tier_bytes=first)
+        assert sorted(map(repr, shards.compacted(store, arrivals).select(*given.columns).collect())) == want
+
+
 def test_shards_keep_long_texts(spark, tmp_path):
     store = shards.ShardStore(spark, str(tmp_path / "s"), target_bytes=1 << 16, fan_in=2, first_tier_bytes=1 << 10)
     rng = random.Random(20)
