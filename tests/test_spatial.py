@@ -162,6 +162,17 @@ def test_layout_leaves_are_balanced(spark):
         layouts.fit("quad", frame(spark, uniform(10, 5)), 5, 2)
 
 
+@pytest.mark.parametrize("share", [0.3, 0.6])
+def test_kd_leaves_are_balanced_where_coordinates_tie(spark, share):
+    """The widest axis has two values: cuts fall between them or go to the other axis, and no side stays empty."""
+    points = [[0.0 if i < share * 512 else 10_000.0, y] for i, (y, _) in enumerate(uniform(512, 2, 4))]
+    df = frame(spark, points)
+    row = layouts.statistics(layouts.leaf_table(layouts.fit("kdtree", df, 2, 32).assign(df), 2)).first()
+    assert row["leaves"] == 16 and row["most_rows"] <= 40
+    same = frame(spark, [[1.0, 2.0]] * 70)
+    assert layouts.leaf_table(layouts.fit("kdtree", same, 2, 32).assign(same), 2).first()["n"] == 70
+
+
 def test_curve_key_golden_and_bijective(spark):
     grid = spark.range(16 * 16).select((F.col("id") % 16).alias("a"), F.floor(F.col("id") / 16).alias("b"))
     key = {(r["a"], r["b"]): r["k"] for r in grid.select("a", "b", keys.curve_key([F.col("a"), F.col("b")], 4).alias("k")).collect()}
