@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from terrapoint.functions import geometry
 from terrapoint.staging import staged
@@ -13,6 +16,8 @@ from terrapoint.types import BBox, ConfigError, axes
 
 #: Cells of level n are 2^n base cells wide; a box goes to the level where it covers two cells an axis at most.
 _LEVELS = 40
+#: Ids of a block of spatial_join, and pairs that one of its tasks makes, both about; pairs that are in memory at once.
+_BLOCK, _PAIRS, _CHUNK = 512, 64_000_000, 1 << 18
 
 
 def points(df: DataFrame, id_column: str, coords: list[Column]) -> DataFrame:
@@ -44,9 +49,47 @@ def nearest(df: DataFrame, point) -> DataFrame:
 
 
 def spatial_join(a: DataFrame, b: DataFrame, dims: int) -> DataFrame:
-    """(id_a, id_b) of all pairs with equal coordinates, as an equi-join; multiplicity is kept."""
+    """(id_a, id_b) of all pairs with equal coordinates; multiplicity is kept. Rows of a place are put in blocks of about
+    `_BLOCK` ids, the blocks of equal places are joined, and the joined blocks are dealt out before they become pairs:
+    a task holds one block a side, however many pairs a place has, and a crowded place is shared by all tasks. Blocks
+    are by hash of the id, so that rows of one id share a block."""
     names = axes(dims)
-    return a.select(F.col("id").alias("id_a"), *names).join(b.select(F.col("id").alias("id_b"), *names), names).select("id_a", "id_b")
+    sizes = [df.groupBy(*names).agg(F.count(F.lit(1)).alias(f"n_{side}")) for side, df in (("a", a), ("b", b))]
+    shared = staged(sizes[0].join(sizes[1], names), "join-places")
+    pairs = shared.agg(F.sum(F.col("n_a").cast("double") * F.col("n_b"))).first()[0] or 0.0
+    blocks = [_blocks(df, shared, names, side) for side, df in (("a", a), ("b", b))]
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(pairs / _PAIRS))
+    dealt = blocks[0].join(blocks[1], names).repartition(tasks, *names, "block_a", "block_b")
+    schema = StructType([StructField("id_a", a.schema["id"].dataType), StructField("id_b", b.schema["id"].dataType)])
+    return dealt.select("ids_a", "ids_b").mapInArrow(_pairs, schema)
+
+
+def _pairs(batches):
+    """All pairs of the ids of each row's two lists, `_CHUNK` pairs or one row's at a time."""
+    for batch in batches:
+        (off_a, ids_a), (off_b, ids_b) = ((c.offsets.to_numpy().astype(np.int64), c.values) for c in batch.columns)
+        len_b = np.diff(off_b)
+        ends = np.cumsum(np.diff(off_a) * len_b)
+        starts, row, made = np.concatenate([[0], ends]), 0, 0
+        while row < len(ends):
+            last = max(row + 1, int(np.searchsorted(ends, made + _CHUNK, side="right")))
+            if last == row + 1:
+                take_a = np.repeat(np.arange(off_a[row], off_a[last]), len_b[row])
+                take_b = np.tile(np.arange(off_b[row], off_b[last]), off_a[last] - off_a[row])
+            else:
+                of = np.repeat(np.arange(row, last), np.diff(ends[row:last], prepend=made))
+                take_a, take_b = np.divmod(np.arange(len(of)) - (starts[of] - made), len_b[of])
+                take_a, take_b = take_a + off_a[of], take_b + off_b[of]
+            yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(take_a)), ids_b.take(pa.array(take_b))], names=["id_a", "id_b"])
+            row, made = last, int(ends[last - 1])
+
+
+def _blocks(df: DataFrame, shared: DataFrame, names: list[str], side: str) -> DataFrame:
+    """ids_<side> by place and block_<side>; few places have more than one block, so that their table is small."""
+    crowded = shared.where(F.col(f"n_{side}") > _BLOCK).select(*names, F.ceil(F.col(f"n_{side}") / _BLOCK).alias("blocks_"))
+    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks_", F.lit(1).cast("long"))).alias(f"block_{side}")
+    ids = F.transform(F.collect_list(F.struct("id")), lambda r: r["id"])  # collect_list() alone leaves null ids out
+    return df.select("id", *names).join(crowded, names, "left").select("id", *names, block).groupBy(*names, f"block_{side}").agg(ids.alias(f"ids_{side}"))
 
 
 def _level(dims: int, base: float, prefix: str = "") -> Column:

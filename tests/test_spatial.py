@@ -69,6 +69,20 @@ def test_spatial_join_keeps_multiplicity(spark):
     assert query.spatial_join(df, df, 2).count() == 17
 
 
+def test_spatial_join_deals_out_a_crowded_place(spark, monkeypatch):
+    """One place with all rows, more than a block a side, null ids and one id many times: every pair once for each row,
+    and more than one task makes them."""
+    monkeypatch.setattr(query, "_BLOCK", 16)
+    rows = [(i if i % 10 else None, 1.0) for i in range(200)] + [(7, 1.0)] * 20 + [(900, 2.0), (901, 3.0)]
+    a = spark.createDataFrame(rows, "id long, x0 double")
+    b = spark.createDataFrame([(i, 1.0) for i in range(90)] + [(-1, 2.0), (-2, 5.0)], "id long, x0 double")
+    found = query.spatial_join(a, b, 1)
+    tasks = found.groupBy(F.spark_partition_id()).count().count()
+    want = sorted((str(i), j) for i, x in rows for j in range(90) if x == 1.0) + [("900", -1)]
+    assert tasks > 1 and sorted((str(r["id_a"]), r["id_b"]) for r in found.collect()) == sorted(want)
+    assert query.spatial_join(a, b.limit(0), 1).count() == 0
+
+
 def test_batch_range_equals_nested_loop(spark):
     points, rng = uniform(300, 2, 3), random.Random(5)
     boxes = []
