@@ -18,6 +18,8 @@ from terrapoint.types import BBox, ConfigError, axes
 _LEVELS = 40
 #: Ids of a block of spatial_join, and pairs that one of its tasks makes, both about; pairs that are in memory at once.
 _BLOCK, _PAIRS, _CHUNK = 512, 64_000_000, 1 << 18
+#: Places that one task of knn_join asks for, about.
+_ASKED = 25_000
 
 
 def points(df: DataFrame, id_column: str, coords: list[Column]) -> DataFrame:
@@ -180,7 +182,8 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds:
     by cell, how many points lie about a query's radius: a crowded radius shrinks, all others are asked by batch_range;
     queries that found k are done, the others go on with twice the radius. So a query meets a few times k points,
     whatever the clusters, and of equal points the k smallest ids alone take part. Exact: the k-th distance found is
-    never beyond the radius."""
+    never beyond the radius. Queries at one place are asked once, under the smallest query_id, and a task asks for
+    `_ASKED` places, however small the files are that hold them."""
     if k < 1:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, id long, dist double")
     names = axes(dims)
@@ -197,9 +200,13 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds:
     # A query outside the extent starts with a radius that reaches it.
     outside = F.sqrt(sum((F.pow(F.greatest(F.lit(float(facts[f"lo{d}"])) - F.col(f"q{d}"), F.col(f"q{d}") - F.lit(float(facts[f"hi{d}"])), F.lit(0.0)), 2) for d in range(dims)), F.lit(0.0)))
     farthest = F.sqrt(sum((F.pow(F.greatest(F.abs(F.col(f"q{d}") - F.lit(float(facts[f"lo{d}"]))), F.abs(F.col(f"q{d}") - F.lit(float(facts[f"hi{d}"])))), 2) for d in range(dims)), F.lit(0.0)))
+    spot = [f"q{d}" for d in range(dims)]
+    given = staged(left, "knn-given")
+    left = given.groupBy(*spot).agg(F.min("query_id").alias("query_id")).select("query_id", *spot)
     left = left.withColumns({"radius": outside * 1.0000001 + F.lit(base), "farthest": farthest * 1.0000001, "low": outside})
     left = staged(left, "knn-queries")
     columns = left.columns
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(left.count() / _ASKED))
     around = lambda rows: rows.select(F.col("query_id").alias("box_id"), *[(F.col(f"q{d}") + sign * F.col("radius")).alias(f"{s}{d}") for d in range(dims) for s, sign in (("lo", -1), ("hi", 1))])
     done = None
     for turn in range(most_rounds):
@@ -207,8 +214,8 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds:
         now = left.join(crowd, "query_id", "left").withColumn("many", F.coalesce("many", F.lit(0)))
         ask = (F.col("many") <= cap) | (F.col("radius") <= 2.0000001 * F.col("low")) | (F.col("radius") <= finest)
         now = staged(now.withColumn("ask", ask), f"knn-crowd-{turn}")
-        asked = now.where("ask").select(*columns)
-        near = batch_range(slim, around(asked), dims, finest).withColumnRenamed("box_id", "query_id").join(asked, "query_id")
+        asked = now.where("ask").select(*columns).repartition(tasks, "query_id")
+        near = batch_range(slim, around(asked), dims, finest).withColumnRenamed("box_id", "query_id").repartition(tasks, "query_id").join(asked, "query_id")
         near = near.withColumn("dist", geometry.distance(dims, "q")).where((F.col("dist") <= F.col("radius")) | (F.col("radius") >= F.col("farthest")))
         order = Window.partitionBy("query_id").orderBy("dist", "id")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -222,7 +229,9 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, dims: int, most_rounds:
         rest = state.where("not ready")
         left = rest.select(*[c for c in columns if c not in ("radius", "low")], F.when(F.col("ask"), F.col("radius") * 2).otherwise(F.greatest(smaller, 2 * F.col("low"))).alias("radius"), F.when(F.col("ask"), F.col("radius")).otherwise(F.col("low")).alias("low")).select(*columns)
         if left.isEmpty():
-            return done
+            first = given.groupBy(*[F.col(q).alias(f"at_{q}") for q in spot]).agg(F.min("query_id").alias("first_"))
+            asked_as = given.join(first, [F.col(q).eqNullSafe(F.col(f"at_{q}")) for q in spot]).select("query_id", "first_")
+            return asked_as.join(done.withColumnRenamed("query_id", "first_"), "first_").select("query_id", "rank", "id", "dist")
     raise RuntimeError("radii did not reach the points")
 
 

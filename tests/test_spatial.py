@@ -126,6 +126,19 @@ def test_knn_join_on_clusters_and_copies(spark):
         assert [got[n][r] for r in range(1, 6)] == want
 
 
+def test_knn_join_asks_once_for_a_place(spark, monkeypatch):
+    """400 queries at two places: all have their answers, and two boxes are asked for."""
+    points, boxes, plain = uniform(200, 2, 9), [], query.batch_range
+    monkeypatch.setattr(query, "batch_range", lambda df, asked, *rest: boxes.append(asked.count()) or plain(df, asked, *rest))
+    places = [(500.0, 500.0), (-0.0, 20.0)]
+    q = spark.createDataFrame([(i, *(places[i % 2] if i != 1 else (0.0, 20.0))) for i in range(400)], "query_id long, q0 double, q1 double")
+    got = {}
+    for r in query.knn_join(frame(spark, points), q, 3, 2).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    want = [sorted(range(200), key=lambda i: (math.dist(points[i], p), i))[:3] for p in places]
+    assert got == {i: dict(enumerate(want[i % 2], 1)) for i in range(400)} and max(boxes) <= 2
+
+
 def test_boxes_of_any_width(spark):
     points = uniform(50, 2, 6)
     inf = float("inf")
